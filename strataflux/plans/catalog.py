@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflux.plans import run_queries  # noqa: F401
+from strataflux.plans import numeric_queries, run_queries  # noqa: F401
 from strataflux.plans.registry import ORACLES, QUERIES
 
 
