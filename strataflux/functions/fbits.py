@@ -74,11 +74,13 @@ def extended_value(digits: Column) -> Column:
     head = _small(F.substring(digits, 1, 4))
     exp = head.bitwiseAND(32767)
     mant = unsigned(F.substring(digits, 9, 16))
-    fraction = mant % F.lit(1 << 63).cast(WIDE)
+    # beyond these bounds every significand has already overflowed or vanished
+    scale = F.greatest(F.lit(-2200), F.least(F.lit(2200), exp - (16383 + 63)))
+    fraction = mant % F.lit(str(1 << 63)).cast(WIDE)
     size = (
         F.when((exp == 32767) & (fraction != 0), F.lit(float("nan")))
         .when(exp == 32767, F.lit(float("inf")))
-        .otherwise(ieee.fscale(mant.cast("double"), (exp - 16383 - 63).cast("double")))
+        .otherwise(mant.cast("double") * F.pow(F.lit(2.0), F.shiftright(scale, 1)) * F.pow(F.lit(2.0), scale - F.shiftright(scale, 1)))
     )
     return F.when(head >= 32768, -size).otherwise(size)
 
@@ -101,10 +103,10 @@ def value(digits: Column, size: Column) -> Column:
 def double_digits(x: Column) -> Column:
     """The 16 hex digits of a double; the inverse of `double_value`."""
     a = F.abs(x)
-    exp = F.when(a == 0, F.lit(-1023.0)).otherwise(ieee.fgetexp(a))
+    exp = F.when(a == 0, -1023).otherwise(ieee.exponent(a))
     tiny = exp < -1022
     mant = F.when(tiny, a * F.pow(F.lit(2.0), F.lit(537.0)) * F.pow(F.lit(2.0), F.lit(537.0))).otherwise(
-        (ieee.fgetman(a) - 1) * float(1 << 52)
+        (a / F.pow(F.lit(2.0), exp) - 1) * float(1 << 52)
     ).cast("bigint")
     field = F.when(tiny, F.lit(0)).otherwise(exp.cast("bigint") + 1023) + F.when(ieee.signbit(x), 2048).otherwise(0)
     body = F.concat(F.lpad(F.hex(field.cast("bigint")), 3, "0"), F.lpad(F.hex(mant), 13, "0"))
@@ -115,9 +117,9 @@ def double_digits(x: Column) -> Column:
 def extended_digits(x: Column) -> Column:
     """The 24 hex digits of the extended form of a double (exact)."""
     a = F.abs(x)
-    exp = ieee.fgetexp(a).cast("bigint")
+    exp = ieee.exponent(a)
     # shifting the 53-bit significand to the top fills the sign bit, which hex() prints as it is
-    mant = (ieee.fgetman(a) * float(1 << 52)).cast("bigint")
+    mant = (a / F.pow(F.lit(2.0), exp) * float(1 << 52)).cast("bigint")
     low = F.lpad(F.hex(F.shiftleft(mant, 11)), 16, "0")
     head = F.when(ieee.signbit(x), 32768).otherwise(0)
     special = F.lpad(F.hex((head + 32767).cast("bigint")), 4, "0")

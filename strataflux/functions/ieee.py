@@ -24,7 +24,8 @@ def _inf() -> Column:
 
 def signbit(x: Column) -> Column:
     """True for negative numbers and for minus zero."""
-    return F.when(F.isnan(x), False).when(x == 0, F.atan2(x, F.lit(-1.0)) < 0).otherwise(x < 0)
+    # the reciprocal by power keeps the sign of a zero; division by zero would raise
+    return F.when(F.isnan(x), False).when(x == 0, F.pow(x, F.lit(-1.0)) < 0).otherwise(x < 0)
 
 
 def isinf(x: Column) -> Column:
@@ -83,13 +84,13 @@ def fint(x: Column, mode: str = "rn") -> Column:
         "rz": F.when(x < 0, up).otherwise(down),
     }[mode]
     integral = F.isnan(x) | (F.abs(x) >= float(1 << 52))
-    return F.when(integral, x).otherwise(F.when(pick == 0, with_sign(F.lit(0.0), signbit(x))).otherwise(pick))
+    return F.when(integral, x).otherwise(F.when(pick == 0, x * 0.0).otherwise(pick))
 
 
 def fintrz(x): return fint(x, "rz")
 
 
-def _exponent(a: Column) -> Column:
+def exponent(a: Column) -> Column:
     """Binary exponent of a positive finite number; log2 alone is off by one near powers of two."""
     guess = F.floor(F.log2(a)).cast("int")
     p = F.pow(F.lit(2.0), guess)
@@ -97,14 +98,14 @@ def _exponent(a: Column) -> Column:
 
 
 def fgetexp(x: Column) -> Column:
-    return F.when(F.isnan(x) | isinf(x), _nan()).when(x == 0, x).otherwise(_exponent(F.abs(x)).cast("double"))
+    return F.when(F.isnan(x) | isinf(x), _nan()).when(x == 0, x).otherwise(exponent(F.abs(x)).cast("double"))
 
 
 def fgetman(x: Column) -> Column:
     """Significand in [1, 2) with the sign of the operand."""
     return (
         F.when(F.isnan(x) | isinf(x), _nan()).when(x == 0, x)
-        .otherwise(x / F.pow(F.lit(2.0), _exponent(F.abs(x))))
+        .otherwise(x / F.pow(F.lit(2.0), exponent(F.abs(x))))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflux.functions import conditions, fbits, ieee, media, registry, text
 from strataflux.plans.registry import query
-from strataflux.sources.tables import micros, table
+from strataflux.sources.tables import table, ticks
 
 
 def r6(col, digits=6):
@@ -15,22 +15,32 @@ def r6(col, digits=6):
 
 def q6(expr, digits=6):
     """SQL twin of r6; minus zero becomes zero."""
-    return f"case when round({expr}, {digits}) = 0 then 0.0 else round({expr}, {digits}) end"
-
-
-def shown(col, name):
-    """A number that may be special, as a class and a rounded value."""
-    cls = (
-        F.when(F.isnan(col), "nan").when(col == float("inf"), "inf").when(col == float("-inf"), "-inf")
-        .when((col == 0) & ieee.signbit(col), "-0").otherwise("num")
-    )
-    return [cls.alias(f"{name}_cls"), F.when(cls == "num", r6(col)).alias(name)]
+    return f"cast(case when round({expr}, {digits}) = 0 then 0.0 else round({expr}, {digits}) end as double)"
+
+
+def shown(df, exact, **cols):
+    """Numbers that may be special, each as a class and a value; exact ones are not rounded."""
+    named = df.select("k", "n", *[c.alias(name) for name, c in cols.items()])
+    out = []
+    for name in cols:
+        col = F.col(name)
+        cls = (
+            F.when(F.isnan(col), "nan").when(col == float("inf"), "inf").when(col == float("-inf"), "-inf")
+            .when((col == 0) & ieee.signbit(col), "-0").otherwise("num")
+        )
+        out += [cls.alias(f"{name}_cls"), F.when(cls == "num", (col + 0.0) if exact else r6(col)).alias(name)]
+    return named.select("k", "n", *out)
 
 
-def q_shown(expr, name):
-    cls = (f"case when isnan({expr}) then 'nan' when {expr} = 'inf'::double then 'inf' when {expr} = '-inf'::double then '-inf'"
-           f" when {expr} = 0 and signbit({expr}) then '-0' else 'num' end")
-    return f"{cls} as {name}_cls, case when ({cls}) = 'num' then {q6(expr)} end as {name}"
+def q_shown(source, exact, **cols):
+    """SQL twin of shown over the relation `source`."""
+    out = []
+    for name in cols:
+        cls = (f"case when isnan({name}) then 'nan' when {name} = 'inf'::double then 'inf' when {name} = '-inf'::double then '-inf'"
+               f" when {name} = 0 and signbit({name}) then '-0' else 'num' end")
+        out.append(f"{cls} as {name}_cls, case when ({cls}) = 'num' then {name if exact else q6(name)} end as {name}")
+    inner = ", ".join(f"cast({e} as double) as {name}" for name, e in cols.items())
+    return f"select k, n, {', '.join(out)} from (select k, n, {inner} from {source})"
 
 
 # x and y: prices and quantities around zero, with every special value by part key
@@ -78,66 +88,57 @@ def fn_transcendental(spark, d):
 def _q_log(fn, pole="0"):
     arg = "x" if pole == "0" else "1 + x"
     return (f"case when isnan(x) or x < {pole} then 'nan'::double when x = {pole} then '-inf'::double"
-            f" when x = 'inf'::double then x else {fn}(case when isnan(x) or x <= {pole} or x = 'inf'::double then 1.0 else {arg} end) end")
+            f" when x = 'inf'::double or (x = 0 and {pole} <> 0) then x else {fn}(case when isnan(x) or x <= {pole} or x = 'inf'::double then 1.0 else {arg} end) end")
 
 
-@query("fn_log", "with " + OPERANDS + ", logs as (select k, n, " + ", ".join(
-    f"{_q_log(f, p)} as {n}" for n, f, p in (("logn", "ln", "0"), ("log2", "log2", "0"), ("log10", "log10", "0"), ("lognp1", "ln", "-1"))
-) + " from ops)\nselect k, n, " + ", ".join(q_shown(n, n) for n in ("logn", "log2", "log10", "lognp1")) + " from logs")
+@query("fn_log", "with " + OPERANDS + q_shown(
+    "ops", False, logn=_q_log("ln"), log2=_q_log("log2"), log10=_q_log("log10"), lognp1=_q_log("ln", "-1")))
 def fn_log(spark, d):
-    x = F.col("x")
-    return operands(spark, d).select("k", "n", *[
-        c for n in ("logn", "log2", "log10", "lognp1") for c in shown(ieee.MONADIC["f" + n](x), n)])
+    return shown(operands(spark, d), False, **{n: ieee.MONADIC["f" + n](F.col("x")) for n in ("logn", "log2", "log10", "lognp1")})
 
 
 _ROUNDINGS = {"rn": "round_even(x, 0)", "rm": "floor(x)", "rp": "ceil(x)", "rz": "trunc(x)"}
+_INTS = {m: (f"case when isnan(x) or isinf(x) then x when {e} = 0 then case when signbit(x) then '-0.0'::double else 0.0 end else {e} end")
+         for m, e in _ROUNDINGS.items()}
 
 
-@query("fn_int", "with " + OPERANDS + ", ints as (select k, n, " + ", ".join(
-    f"case when isnan(x) or isinf(x) then x when {e} = 0 then case when signbit(x) then '-0.0'::double else 0.0 end else {e} end as {m}"
-    for m, e in _ROUNDINGS.items()) + " from ops)\nselect k, n, " + ", ".join(q_shown(m, m) for m in _ROUNDINGS) + ", "
-    + q_shown("rz", "intrz") + " from ints")
+@query("fn_int", "with " + OPERANDS + q_shown("ops", True, **_INTS, intrz=_INTS["rz"]))
 def fn_int(spark, d):
     x = F.col("x")
-    return operands(spark, d).select(
-        "k", "n", *[c for m in _ROUNDINGS for c in shown(ieee.fint(x, m), m)], *shown(ieee.fintrz(x), "intrz"))
+    return shown(operands(spark, d), True, **{m: ieee.fint(x, m) for m in _ROUNDINGS}, intrz=ieee.fintrz(x))
 
 
 @query("fn_parts", "with " + OPERANDS + """, parts as (
   select *, case when isnan(x) or isinf(x) or x = 0 then null else floor(log2(abs(x) * (1 + 1e-15))) end as e from ops)
-select k, n, """ + ", ".join((
-    q_shown("(case when isnan(x) or isinf(x) then 'nan'::double when x = 0 then x else e end)", "getexp"),
-    q_shown("(case when isnan(x) or isinf(x) then 'nan'::double when x = 0 then x else x / pow(2, e) end)", "getman"),
-    q_shown("(case when isnan(x) or isnan(y) or isinf(y) then 'nan'::double when x = 0 or isinf(x) then x else x * pow(2, trunc(y)) end)", "scale"),
-)) + " from parts")
+""" + q_shown(
+    "parts", True,
+    getexp="case when isnan(x) or isinf(x) then 'nan'::double when x = 0 then x else e end",
+    getman="case when isnan(x) or isinf(x) then 'nan'::double when x = 0 then x else x / pow(2, e) end",
+    scale="case when isnan(x) or isnan(y) or isinf(y) then 'nan'::double when x = 0 or isinf(x) then x else x * pow(2, trunc(y)) end"))
 def fn_parts(spark, d):
     x, y = F.col("x"), F.col("y")
-    return operands(spark, d).select(
-        "k", "n", *shown(ieee.fgetexp(x), "getexp"), *shown(ieee.fgetman(x), "getman"), *shown(ieee.fscale(x, y), "scale"))
+    return shown(operands(spark, d), True, getexp=ieee.fgetexp(x), getman=ieee.fgetman(x), scale=ieee.fscale(x, y))
 
 
-_DIV = ("(case when isnan(x) or isnan(y) or (x = 0 and y = 0) or (isinf(x) and isinf(y)) then 'nan'::double"
-        " when y = 0 then case when signbit(x) <> signbit(y) then '-inf'::double else 'inf'::double end"
-        " when isinf(x) then case when signbit(x) <> signbit(y) then '-inf'::double else 'inf'::double end"
-        " else x / case when y = 0 then 1 else y end end)")
+_DIV = ("case when isnan(x) or isnan(y) or (x = 0 and y = 0) or (isinf(x) and isinf(y)) then 'nan'::double"
+        " when y = 0 or isinf(x) then case when signbit(x) <> signbit(y) then '-inf'::double else 'inf'::double end"
+        " else x / case when y = 0 then 1 else y end end")
 
 
-@query("fn_arith", "with " + OPERANDS + ", fin as (select *, isnan(x) or isinf(x) as sx, isnan(y) or isinf(y) as sy from ops)\nselect k, n, "
-       + ", ".join((
-           q_shown("(case when isnan(x) or isnan(y) then 'nan'::double when isinf(x) and isinf(y) and x <> y then 'nan'::double else x + y end)", "add"),
-           q_shown("(case when isnan(x) or isnan(y) then 'nan'::double when isinf(x) and isinf(y) and x = y then 'nan'::double else x - y end)", "sub"),
-           q_shown("(case when isnan(x) or isnan(y) or (isinf(x) and y = 0) or (x = 0 and isinf(y)) then 'nan'::double else x * y end)", "mul"),
-           q_shown(_DIV, "div"),
-           q_shown("(case when sx or sy then 0.0 else cast(cast(x + y as float) as double) end)", "sadd"),
-           q_shown("(case when sx or sy then 0.0 else cast(cast(cast(x as float)::double * cast(y as float)::double as float) as double) end)", "sglmul"),
-       )) + " from fin")
+@query("fn_arith", "with " + OPERANDS + ", fin as (select *, isnan(x) or isinf(x) or isnan(y) or isinf(y) as s from ops) " + q_shown(
+    "fin", True,
+    add="case when isnan(x) or isnan(y) or (isinf(x) and isinf(y) and x <> y) then 'nan'::double else x + y end",
+    sub="case when isnan(x) or isnan(y) or (isinf(x) and isinf(y) and x = y) then 'nan'::double else x - y end",
+    mul="case when isnan(x) or isnan(y) or (isinf(x) and y = 0) or (x = 0 and isinf(y)) then 'nan'::double else x * y end",
+    div=_DIV,
+    sadd="case when s then 0.0 else cast(cast(x + y as float) as double) end",
+    sglmul="case when s then 0.0 else cast(cast(cast(x as float)::double * cast(y as float)::double as float) as double) end"))
 def fn_arith(spark, d):
     x, y = F.col("x"), F.col("y")
     special = F.isnan(x) | F.isnan(y) | ieee.isinf(x) | ieee.isinf(y)
-    return operands(spark, d).select(
-        "k", "n", *shown(ieee.fadd(x, y), "add"), *shown(ieee.fsub(x, y), "sub"), *shown(ieee.fmul(x, y), "mul"),
-        *shown(ieee.fdiv(x, y), "div"), *shown(F.when(special, 0.0).otherwise(ieee.DYADIC["fsadd"](x, y)), "sadd"),
-        *shown(F.when(special, 0.0).otherwise(ieee.fsglmul(x, y)), "sglmul"))
+    return shown(
+        operands(spark, d), True, add=ieee.fadd(x, y), sub=ieee.fsub(x, y), mul=ieee.fmul(x, y), div=ieee.fdiv(x, y),
+        sadd=F.when(special, 0.0).otherwise(ieee.DYADIC["fsadd"](x, y)), sglmul=F.when(special, 0.0).otherwise(ieee.fsglmul(x, y)))
 
 
 @query("fn_rem", """
@@ -238,24 +239,26 @@ select o_orderkey, lower(hex(cast(cast(o_totalprice - 200000 as bit) as blob)))
        o_totalprice - 200000 as back_x, cast(o_custkey - 500 as double) as back_w
 from orders""")
 def number_bits(spark, d):
+    # one select per step: each step's columns are used several times by the next
     x = F.col("o_totalprice") - 200000
-    s = x.cast("float").cast("double")
-    d_hex = fbits.double_digits(x)
+    ops = table(spark, d, "orders").select(
+        "o_orderkey", x.alias("x"), x.cast("float").cast("double").alias("s"),
+        F.lpad(F.hex(((F.col("o_custkey") - 500) % 65536 + 65536) % 65536), 24, "0").alias("w_hex"))
+    hexed = ops.select(
+        "*", fbits.double_digits(F.col("x")).alias("bits"), fbits.double_digits(F.col("s")).alias("wide"),
+        fbits.extended_digits(F.col("x")).alias("x_hex"))
     # the single form of a normal number, built from its double form
-    wide = fbits.double_digits(s)
-    exp = F.conv(F.substring(wide, 1, 3), 16, 10).cast("bigint")
+    exp = F.conv(F.substring("wide", 1, 3), 16, 10).cast("bigint")
     word = (
         F.when(exp >= 2048, F.lit(1 << 31)).otherwise(0) + (exp % 2048 - 1023 + 127) * (1 << 23)
-        + F.shiftright(F.conv(F.substring(wide, 4, 13), 16, 10).cast("bigint"), 29)
+        + F.shiftright(F.conv(F.substring("wide", 4, 13), 16, 10).cast("bigint"), 29)
     )
-    s_hex = F.lpad(F.hex(word.cast("bigint")), 24, "0")
-    w_hex = F.lpad(F.hex(((F.col("o_custkey") - 500) % 65536 + 65536) % 65536), 24, "0")
-    return table(spark, d, "orders").select(
-        "o_orderkey", d_hex.alias("bits"),
-        fbits.value(F.lpad(d_hex, 24, "0"), F.lit("d")).alias("back_d"),
-        F.when(s == 0, 0.0).otherwise(fbits.value(s_hex, F.lit("s"))).alias("back_s"),
-        fbits.value(fbits.extended_digits(x), F.lit("x")).alias("back_x"),
-        fbits.value(w_hex, F.lit("w")).alias("back_w"))
+    singles = hexed.select("*", F.lpad(F.hex(word.cast("bigint")), 24, "0").alias("s_hex"))
+    return singles.select(
+        "o_orderkey", "bits", fbits.double_value(F.lpad("bits", 24, "0")).alias("back_d"),
+        F.when(F.col("s") == 0, 0.0).otherwise(fbits.single_value(F.col("s_hex"))).alias("back_s"),
+        fbits.extended_value(F.col("x_hex")).alias("back_x"),
+        fbits.integer_value(F.col("w_hex"), "w").cast("double").alias("back_w"))
 
 
 @query("constant_cleanup", """
@@ -272,15 +275,16 @@ def constant_cleanup(spark, d):
 
 
 @query("ulp_distance", """
-with pairs as (select l_orderkey as k, l_linenumber as n, l_extendedprice as a, l_quantity * round(l_extendedprice / l_quantity, 2) as b from lineitem), bits as (
+with pairs as (select l_orderkey as k, l_linenumber as n, l_extendedprice as a, l_quantity * (floor(l_extendedprice / l_quantity * 100) / 100) as b from lineitem), bits as (
   select k, n, cast('0x' || hex(cast(cast(a as bit) as blob)) as bigint) as ia, cast('0x' || hex(cast(cast(b as bit) as blob)) as bigint) as ib from pairs)
 select k, n, case when abs(ia - ib) > 2147483647 then 2147483647 else abs(ia - ib) end as ulps, abs(ia - ib) <= 2 as ok from bits""")
 def ulp_distance(spark, d):
-    a, b = F.col("l_extendedprice"), F.col("l_quantity") * F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
-    ulps = fbits.ulp_diff(F.lpad(fbits.double_digits(a), 24, "0"), F.lpad(fbits.double_digits(b), 24, "0"), F.lit("d"), F.lit("x"))
-    return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ulps.alias("ulps"),
-        (ulps <= fbits.tolerance(F.lit("d"), F.lit("x"), F.lit(False))).alias("ok"))
+    a, b = F.col("l_extendedprice"), F.col("l_quantity") * (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100)
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), a.alias("a"), b.alias("b"))
+    hexed = pairs.select(
+        "k", "n", F.lpad(fbits.double_digits(F.col("a")), 24, "0").alias("a"), F.lpad(fbits.double_digits(F.col("b")), 24, "0").alias("b"))
+    far = hexed.select("k", "n", fbits.ulp_diff(F.col("a"), F.col("b"), F.lit("d"), F.lit("x")).alias("ulps"))
+    return far.select("k", "n", "ulps", (F.col("ulps") <= fbits.tolerance(F.lit("d"), F.lit("x"), F.lit(False))).alias("ok"))
 
 
 @query("basic_functions", "with ops as (select l_orderkey as k, l_linenumber as n, l_quantity / 10 as x, l_discount as y from lineitem)\nselect k, n, "
@@ -315,8 +319,8 @@ def number_text(spark, d):
 
 @query("printable_text", """
 with norm as (select doc_id, regexp_replace(replace(text, '\\', '\\\\'), '\\r\\n?', chr(10), 'g') as t from documents), esc as (
-  select doc_id, list_aggregate(list_transform(string_split(t, ''), c -> case when c = chr(10) or (ord(c) between 32 and 126 and length(c) = 1) then c
-    else list_aggregate(list_transform(range(1, octet_length(encode(c)) + 1), i -> '\\' || printf('%03o', cast('0x' || substr(hex(encode(c)), 2 * i - 1, 2) as int))), 'string_agg', '') end),
+  select doc_id, list_aggregate(list_transform(string_split(t, ''), lambda c: case when c = chr(10) or (ord(c) between 32 and 126 and length(c) = 1) then c
+    else list_aggregate(list_transform(range(1, octet_length(encode(c)) + 1), lambda i: '\\' || printf('%03o', cast('0x' || substr(hex(encode(c)), 2 * i - 1, 2) as int))), 'string_agg', '') end),
     'string_agg', '') as p from norm)
 select doc_id, md5(coalesce(p, '')) as digest, length(coalesce(p, '')) as n from esc""")
 def printable_text(spark, d):
@@ -337,7 +341,7 @@ select event_id, user_id % 24 * 3600 + event_id % 60 * 60 + event_id % 59 + (eve
        case when v = 0 then 0 else length(ltrim(cast(cast(abs(v) as bit) as varchar), '0')) end as category from g""")
 def media_scalars(spark, d):
     e = table(spark, d, "events").select(
-        "event_id", "user_id", (F.floor(micros(F.col("ts")) * 9 / 100) % (1 << 33)).cast("bigint").alias("ticks"),
+        "event_id", "user_id", ticks(F.col("ts")).alias("ticks"),
         (F.col("event_id") % 100 + 1).alias("q"), (F.floor(F.col("value") * 100).cast("bigint") - 2000).alias("v"))
     eid, scale = F.col("event_id"), media.quality_scale(F.col("q"))
     joined = media.clock_ticks(F.shiftright("ticks", 32), F.col("ticks").bitwiseAND((1 << 32) - 1))

@@ -28,6 +28,12 @@ def micros(col: Column) -> Column:
     )
 
 
+def ticks(col: Column) -> Column:
+    """33-bit 90 kHz clock of a timestamp, in whole-number arithmetic."""
+    us = micros(col) * 9
+    return ((us - us % 100).cast("decimal(20,0)") / 100).cast("bigint") % CLOCK_WRAP
+
+
 def pixels(events: DataFrame) -> DataFrame:
     """64 x 64 images: `(img, y, x, r, g, b)`, one pixel per event."""
     return events.select(
@@ -88,7 +94,7 @@ def packets(events: DataFrame) -> DataFrame:
             " when 'purchase' then 188 + event_id % 4"
             " else 240 + event_id % 16 end"
         ).alias("stream_id"),
-        (F.floor(micros(F.col("ts")) * 9 / 100) % CLOCK_WRAP).cast("bigint").alias("scr_ticks"),
+        ticks(F.col("ts")).alias("scr_ticks"),
         F.expr("cast(floor(value * 100) as bigint)").alias("mux_rate"),
         F.lit(6).cast("bigint").alias("hdr_bytes"),
         F.length("props").cast("bigint").alias("payload_bytes"),

@@ -45,6 +45,6 @@ def compare(spark, con, name, fn, sql, sf_dir):
     a, b = normal(df.columns, got), normal(cols, want)
     if a == b:
         return None
-    extra = [x for x in a if x not in set(b)][:3]
-    missing = [x for x in b if x not in set(a)][:3]
+    only_a, only_b = set(a) - set(b), set(b) - set(a)
+    extra, missing = sorted(only_a)[:3], sorted(only_b)[:3]
     return f"{name}: {len(a)} rows, want {len(b)}\n  columns {sorted(cols)}\n  only ours {extra}\n  only SQL {missing}"
