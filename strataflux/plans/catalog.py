@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflux.plans import conformance_queries, numeric_queries, run_queries  # noqa: F401
+from strataflux.plans import conformance_queries, numeric_queries, pixel_queries, run_queries  # noqa: F401
 from strataflux.plans.registry import ORACLES, QUERIES
 
 
