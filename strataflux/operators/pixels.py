@@ -550,3 +550,8 @@ def nearest_vectors(vectors: DataFrame, centroids: DataFrame, vec: str, key: str
     rest = [f for f in vectors.schema.fields if f.name != vec]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", nearest bigint"
     return vectors.mapInPandas(assign, schema)
+
+
+def table_plane(df: DataFrame, component: str, comp: int = 0) -> DataFrame:
+    """One component as samples `(img, comp, y, x, v)` for the block transform."""
+    return df.select("img", F.lit(comp).cast("bigint").alias("comp"), "y", "x", F.col(component).alias("v"))
