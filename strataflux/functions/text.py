@@ -16,7 +16,7 @@ def printable(text: Column) -> Column:
         F.sequence(F.lit(1), F.octet_length(c)),
         lambda i: F.concat(F.lit("\\"), F.lpad(F.conv(F.hex(F.substring(F.encode(c, "UTF-8"), i, F.lit(1))), 16, 8), 3, "0")),
     ))
-    return F.concat_ws("", F.transform(pieces, lambda p: F.when(p.rlike(r"^[\n -~]"), p).otherwise(octal(p))))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^[\n -~]"), p).otherwise(octal(p))), "")
 
 
 def fixed_text(x: Column, places: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflux.plans import block_queries, conformance_queries, numeric_queries, pixel_queries, run_queries, stream_queries  # noqa: F401
+from strataflux.plans import block_queries, conformance_queries, live_queries, numeric_queries, pixel_queries, run_queries, source_queries, stream_queries  # noqa: F401
 from strataflux.plans.registry import ORACLES, QUERIES
 
 

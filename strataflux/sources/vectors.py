@@ -29,8 +29,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("suite"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("value").alias("raw"),
-    ).withColumn("_at", F.monotonically_increasing_id())
-    return scan(lines, ["suite"], ["_block", "_at"], {"line_no": RunningSum(F.lit(1).cast("bigint"))}, width=None).select(
+    )
+    return number_lines(lines)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Line numbers for `(suite, _block, raw)`, rows in reading order inside a block."""
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    return scan(placed, ["suite"], ["_block", "_at"], {"line_no": RunningSum(F.lit(1).cast("bigint"))}, width=None).select(
         "suite", "line_no", "raw"
     )
 
