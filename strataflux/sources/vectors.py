@@ -69,79 +69,85 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return classify_lines(read_lines(spark, path))
 
 
-def _in(token, words):
-    return F.array_contains(F.array(*[F.lit(w) for w in words]), token)
+# One pattern per side, so that a token is matched once.
+_LEFT = ("^(" + "|".join(ROUNDINGS + PRECISIONS + PLACES) + "|~?(" + "|".join(ENABLES + CODES) + ")|k#:.*|ks:.*|kd:.*|q:.*)$")
+_RIGHT = "^(~?(" + "|".join(STATUS + TRAPS + ("t",)) + ")|f|q:.*)$"
+
+
+def hold(df: DataFrame, **cols) -> DataFrame:
+    """Add columns that later filters cannot copy below this point.
+
+    A filter on a derived column is otherwise pushed down with the whole
+    expression inlined at each use, which array functions then evaluate again.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of the test lines, and the rejected lines with a reason."""
+    """Typed rows of the test lines, and the rejected lines with a reason.
+
+    Tokens before the first `=` are settings and operands, those after it
+    expected flags and results. A token is a known word, a constant or, once
+    per line, the operation.
+    """
     spaced = F.trim(F.regexp_replace(F.col("line"), "=", " = "))
-    tokens = lines.where("kind = 'test'").withColumn("_t", F.split(spaced, r"\s+"))
-    at = F.array_position("_t", F.lit("="))
-    size = F.size("_t")
-    sided = tokens.withColumn("has_expect", at > 0).select(
-        "*",
-        F.when(at > 0, F.slice("_t", 1, at.cast("int") - 1)).otherwise(F.col("_t")).alias("_l"),
-        F.filter(F.when(at > 0, F.slice("_t", at.cast("int") + 1, size)).otherwise(F.array().cast("array<string>")),
-                 lambda t: t != "=").alias("_r"),
-    )
-    # either side: word lists first, then constants, what is left is the operation
-    left_word = lambda t: (
-        _in(t, ROUNDINGS + PRECISIONS + ENABLES + CODES + PLACES)
-        | (t.startswith("~") & _in(F.substring(t, 2, 8), ENABLES + CODES)) | t.rlike(r"^(k#:|ks:|kd:|q:)")
-    )
-    right_word = lambda t: (
-        _in(F.regexp_replace(t, "^~", ""), STATUS + TRAPS + ("t",)) | (t == "f") | t.startswith("q:")
-    )
-    split = sided.select(
-        "*",
-        F.filter("_l", left_word).alias("_lw"), F.filter("_r", right_word).alias("_rw"),
-        F.filter("_l", lambda t: ~left_word(t)).alias("_lo"), F.filter("_r", lambda t: ~right_word(t)).alias("_ro"),
-    ).select(
-        "suite", "line_no", "raw", "verbose", "has_expect", "_lw", "_rw",
-        F.filter("_lo", fbits.is_constant).alias("_ins"), F.filter("_ro", fbits.is_constant).alias("_outs"),
-        F.filter(F.concat("_lo", "_ro"), lambda t: ~fbits.is_constant(t)).alias("_ops"),
-    )
-    name = F.element_at("_ops", 1)
+    split = hold(lines.where("kind = 'test'"), _t=F.split(spaced, r"\s+"))
+    at = F.array_position("_t", F.lit("=")).cast("int")
+
+    def token(t, i):
+        right = (F.col("_at") > 0) & (i >= F.col("_at"))
+        cls = (
+            F.when(t == "=", "e").when(F.when(right, t.rlike(_RIGHT)).otherwise(t.rlike(_LEFT)), "w")
+            .when(fbits.is_constant(t), "c").otherwise("o")
+        )
+        return F.struct(t.alias("t"), F.concat(F.when(right, "r").otherwise("l"), cls).alias("cls"))
+
+    classed = hold(split.withColumn("_at", at), _k=F.transform("_t", token))
+
+    def of(cls):
+        return F.transform(F.filter("_k", lambda k: k["cls"].isin(*cls)), lambda k: k["t"])
+
+    parts = hold(
+        classed.select("suite", "line_no", "raw", "verbose", (F.col("_at") > 0).alias("has_expect"), "_k"),
+        _lw=of(("lw",)), _rw=of(("rw",)), _ins=of(("lc",)), _outs=of(("rc",)), _ops=of(("lo", "ro")),
+    ).drop("_k")
+    name = F.try_element_at("_ops", F.lit(1))
     reason = (
         F.when(F.size("_ops") == 0, "no test name").when(F.size("_ops") > 1, "unknown item")
         .when(~name.rlike(r"^[a-z0-9]+\.[bwlsdxp]$"), "unknown test name")
     )
-    judged = split.withColumn("reason", reason)
-    rejects = judged.where("reason is not null").select("suite", "line_no", "raw", "reason")
 
     def last_of(words, default):
-        return F.coalesce(F.try_element_at(F.filter("_lw", lambda t: _in(t, words)), F.lit(-1)), F.lit(default))
+        return F.coalesce(F.try_element_at(F.filter("_lw", lambda t: t.isin(*words)), F.lit(-1)), F.lit(default))
 
     def number(words, prefix, base):
         hit = F.regexp_extract(F.try_element_at(F.filter(words, lambda t: t.rlike(prefix)), F.lit(-1)), prefix + "(-?[0-9a-f]+)", 2)
         return (F.conv(hit, 16, 10) if base == 16 else hit).cast("int")
 
-    flag_words = F.filter("_rw", lambda t: ~t.startswith("q:"))
-    named = F.transform(flag_words, lambda t: F.struct(
-        F.when(t.isin("t", "~t", "f"), "taken").otherwise(F.regexp_replace(t, "^~", "")).alias("k"),
-        (~(t.startswith("~") | (t == "f"))).alias("v")))
-    names = F.array_distinct(F.transform(named, lambda e: e["k"]))
-
     def const(words, i):
-        return F.transform(F.slice(words, i, 1), fbits.clean_constant)
+        return fbits.clean_constant(F.try_element_at(words, F.lit(i)))
 
-    good = judged.where("reason is null").select(
-        "suite", "line_no", "raw", "verbose", "has_expect", "_lw", "_rw", named.alias("_named"), names.alias("_names"),
-        F.split_part(name, F.lit("."), F.lit(1)).alias("op"), F.split_part(name, F.lit("."), F.lit(2)).alias("size"),
-        *[F.try_element_at(const(w, i), F.lit(1)).alias(f"_{n}{i}") for w, n in (("_ins", "in"), ("_outs", "exp")) for i in (1, 2)],
+    flags = F.transform(F.filter("_rw", lambda t: ~t.startswith("q:")), lambda t: F.struct(
+        F.when(t.isin("t", "~t", "f"), "taken").otherwise(F.ltrim(t, F.lit("~"))).alias("k"),
+        (~(t.startswith("~") | (t == "f"))).alias("v")))
+    judged = hold(parts, reason=reason, _named=flags)
+    rejects = judged.where("reason is not null").select("suite", "line_no", "raw", "reason")
+    good = judged.where("reason is null")
+    # the last word on a flag counts
+    flag_map = F.map_from_entries(F.filter(
+        "_named", lambda e, i: ~F.exists(F.slice("_named", i + 2, F.size("_named")), lambda o: o["k"] == e["k"])))
+    fields = hold(
+        good.select("suite", "line_no", "raw", "verbose", "has_expect", "_lw", "_rw", "_named", "_ops", "_ins", "_outs"),
+        _i1=const(F.col("_ins"), 1), _i2=const(F.col("_ins"), 2), _e1=const(F.col("_outs"), 1), _e2=const(F.col("_outs"), 2),
     )
-    vectors = good.select(
-        "suite", "line_no", "op", "size", last_of(ROUNDINGS, "rn").alias("rmode"), last_of(PRECISIONS, "x").alias("prec"),
-        F.filter("_lw", lambda t: _in(t, ENABLES)).alias("enables"),
-        F.filter("_lw", lambda t: _in(t, CODES)).alias("codes"),
-        F.unhex(F.col("_in1.digits")).alias("in1"), F.col("_in1.size").alias("in1_from"),
-        F.unhex(F.col("_in2.digits")).alias("in2"),
+    vectors = fields.select(
+        "suite", "line_no", F.split_part(name, F.lit("."), F.lit(1)).alias("op"), F.split_part(name, F.lit("."), F.lit(2)).alias("size"),
+        last_of(ROUNDINGS, "rn").alias("rmode"), last_of(PRECISIONS, "x").alias("prec"),
+        F.filter("_lw", lambda t: t.isin(*ENABLES)).alias("enables"), F.filter("_lw", lambda t: t.isin(*CODES)).alias("codes"),
+        F.unhex("_i1.digits").alias("in1"), F.col("_i1.size").alias("in1_from"), F.unhex("_i2.digits").alias("in2"),
         number("_lw", "^(k#:|ks:|kd:)", 10).alias("kfactor"), number("_rw", "^(q:)", 16).alias("qbyte"),
-        "has_expect", F.unhex(F.col("_exp1.digits")).alias("exp1"), F.unhex(F.col("_exp2.digits")).alias("exp2"),
-        F.map_from_entries(F.transform("_names", lambda k: F.struct(
-            k, F.element_at(F.filter("_named", lambda e: e["k"] == k), -1)["v"]))).alias("exp_flags"),
-        "verbose", "raw",
+        "has_expect", F.unhex("_e1.digits").alias("exp1"), F.unhex("_e2.digits").alias("exp2"),
+        flag_map.alias("exp_flags"), "verbose", "raw",
     )
     return vectors, rejects
 
