@@ -6,8 +6,11 @@ extended layout: sign and 15-bit exponent, 16 unused bits, 64-bit significand.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from strataflux.functions import ieee
 
@@ -43,46 +46,64 @@ def _small(hex_text: Column) -> Column:
     return F.conv(hex_text, 16, 10).cast("bigint")
 
 
-def _binary_value(sign: Column, exp: Column, mant: Column, mant_bits: int, top_exp: int, bias: int) -> Column:
-    scale = F.when(exp == 0, 1).otherwise(exp) - (bias + mant_bits)
-    whole = mant + F.when(exp == 0, F.lit(0)).otherwise(F.lit(1 << mant_bits))
-    size = (
-        F.when((exp == top_exp) & (mant != 0), F.lit(float("nan")))
-        .when(exp == top_exp, F.lit(float("inf")))
-        .otherwise(whole.cast("double") * F.pow(F.lit(2.0), scale))
-    )
-    return F.when(sign == 1, -size).otherwise(size)
+# SQL cannot look at the bits of a DOUBLE; these four change only the type of
+# what is already in the Arrow batch.
+
+@F.arrow_udf(LongType())
+def double_bits(x: pa.Array) -> pa.Array:
+    """The 64 bits of a double as a whole number."""
+    return pa.array(x.to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64), mask=_gaps(x))
+
+
+@F.arrow_udf(DoubleType())
+def bits_double(bits: pa.Array) -> pa.Array:
+    """The double with these 64 bits."""
+    return pa.array(_whole(bits).view(np.float64), mask=_gaps(bits))
+
+
+@F.arrow_udf(DoubleType())
+def bits_single(bits: pa.Array) -> pa.Array:
+    """The single with these low 32 bits, as a double."""
+    return pa.array(_whole(bits).astype(np.uint32).view(np.float32).astype(np.float64), mask=_gaps(bits))
+
+
+@F.arrow_udf(DoubleType())
+def extended_number(head: pa.Array, significand: pa.Array) -> pa.Array:
+    """Nearest double of a sign-and-exponent word and 64 significand bits."""
+    word, mant = _whole(head), _whole(significand).view(np.uint64)
+    exp = word & 32767
+    with np.errstate(over="ignore"):
+        size = np.ldexp(mant.astype(np.float64), np.clip(exp - (16383 + 63), -2200, 2200))
+    size = np.where(exp == 32767, np.where(mant << np.uint64(1), np.nan, np.inf), size)
+    return pa.array(np.where(word & 32768, -size, size), mask=_gaps(head) | _gaps(significand))
+
+
+def _gaps(values: pa.Array) -> np.ndarray:
+    return values.is_null().to_numpy(zero_copy_only=False)
+
+
+def _whole(values: pa.Array) -> np.ndarray:
+    return values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _signed(hex_text: Column) -> Column:
+    """16 hex digits as a 64-bit number in twos' complement."""
+    return F.conv(hex_text, 16, -10).cast("bigint")
 
 
 def single_value(digits: Column) -> Column:
     """Value of the low 32 bits read as a single."""
-    word = _small(F.substring(digits, 17, 8))
-    return _binary_value(
-        F.shiftright(word, 31), F.shiftright(word, 23).bitwiseAND(255), word.bitwiseAND((1 << 23) - 1), 23, 255, 127
-    )
+    return bits_single(_small(F.substring(digits, 17, 8)))
 
 
 def double_value(digits: Column) -> Column:
     """Value of the low 64 bits read as a double."""
-    head = _small(F.substring(digits, 9, 3))
-    mant = _small(F.substring(digits, 12, 13))
-    return _binary_value(F.shiftright(head, 11), head.bitwiseAND(2047), mant, 52, 2047, 1023)
+    return bits_double(_signed(F.substring(digits, 9, 16)))
 
 
 def extended_value(digits: Column) -> Column:
     """Nearest double of an extended number; out-of-range exponents overflow or underflow as IEEE asks."""
-    head = _small(F.substring(digits, 1, 4))
-    exp = head.bitwiseAND(32767)
-    mant = unsigned(F.substring(digits, 9, 16))
-    # beyond these bounds every significand has already overflowed or vanished
-    scale = F.greatest(F.lit(-2200), F.least(F.lit(2200), exp - (16383 + 63)))
-    fraction = mant % F.lit(str(1 << 63)).cast(WIDE)
-    size = (
-        F.when((exp == 32767) & (fraction != 0), F.lit(float("nan")))
-        .when(exp == 32767, F.lit(float("inf")))
-        .otherwise(mant.cast("double") * F.pow(F.lit(2.0), F.shiftright(scale, 1)) * F.pow(F.lit(2.0), scale - F.shiftright(scale, 1)))
-    )
-    return F.when(head >= 32768, -size).otherwise(size)
+    return extended_number(_small(F.substring(digits, 1, 4)), _signed(F.substring(digits, 9, 16)))
 
 
 def integer_value(digits: Column, size: str) -> Column:
@@ -102,34 +123,25 @@ def value(digits: Column, size: Column) -> Column:
 
 def double_digits(x: Column) -> Column:
     """The 16 hex digits of a double; the inverse of `double_value`."""
-    a = F.abs(x)
-    exp = F.when(a == 0, -1023).otherwise(ieee.exponent(a))
-    tiny = exp < -1022
-    mant = F.when(tiny, a * F.pow(F.lit(2.0), F.lit(537.0)) * F.pow(F.lit(2.0), F.lit(537.0))).otherwise(
-        (a / F.pow(F.lit(2.0), exp) - 1) * float(1 << 52)
-    ).cast("bigint")
-    field = F.when(tiny, F.lit(0)).otherwise(exp.cast("bigint") + 1023) + F.when(ieee.signbit(x), 2048).otherwise(0)
-    body = F.concat(F.lpad(F.hex(field.cast("bigint")), 3, "0"), F.lpad(F.hex(mant), 13, "0"))
-    inf = F.when(x > 0, F.lit("7ff0000000000000")).otherwise(F.lit("fff0000000000000"))
-    return F.lower(F.when(F.isnan(x), F.lit("7fffffffffffffff")).when(ieee.isinf(x), inf).otherwise(body))
+    return F.lower(F.lpad(F.hex(double_bits(x)), 16, "0"))
 
 
 def extended_digits(x: Column) -> Column:
     """The 24 hex digits of the extended form of a double (exact)."""
-    a = F.abs(x)
-    exp = ieee.exponent(a)
-    # shifting the 53-bit significand to the top fills the sign bit, which hex() prints as it is
-    mant = (a / F.pow(F.lit(2.0), exp) * float(1 << 52)).cast("bigint")
-    low = F.lpad(F.hex(F.shiftleft(mant, 11)), 16, "0")
-    head = F.when(ieee.signbit(x), 32768).otherwise(0)
-    special = F.lpad(F.hex((head + 32767).cast("bigint")), 4, "0")
-    normal = F.concat(F.lpad(F.hex((head + exp + 16383).cast("bigint")), 4, "0"), F.lit("0000"), low)
-    return F.lower(
-        F.when(F.isnan(x), F.concat(F.lit("7fff0000"), F.lit("f" * 16)))
-        .when(ieee.isinf(x), F.concat(special, F.lit("0" * 20)))
-        .when(x == 0, F.concat(F.lpad(F.hex(head.cast("bigint")), 4, "0"), F.lit("0" * 20)))
-        .otherwise(normal)
+    bits = double_bits(x)
+    exp = F.shiftright(bits, 52).bitwiseAND(2047)
+    mant = bits.bitwiseAND((1 << 52) - 1)
+    sign = F.when(bits < 0, 32768).otherwise(0)
+    # a tiny number has no leading one of its own: its highest bit moves to the top
+    width = F.length(F.bin(mant))
+    tiny = exp == 0
+    head = sign + F.when(tiny & (mant == 0), 0).when(exp == 2047, 32767).when(tiny, width + (16383 - 1075)).otherwise(exp + (16383 - 1023))
+    top = F.lit(-(1 << 62)) * 2
+    body = (
+        F.when(tiny & (mant == 0), F.lit(0).cast("bigint")).when((exp == 2047) & (mant == 0), F.lit(0).cast("bigint"))
+        .when(tiny, F.call_function("shiftleft", mant, 64 - width)).otherwise(F.shiftleft(mant, 11).bitwiseOR(top))
     )
+    return F.lower(F.concat(F.lpad(F.hex(head.cast("bigint")), 4, "0"), F.lit("0000"), F.lpad(F.hex(body), 16, "0")))
 
 
 def widen(constant: Column) -> Column:

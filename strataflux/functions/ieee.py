@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def _nan() -> Column:
@@ -90,23 +93,33 @@ def fint(x: Column, mode: str = "rn") -> Column:
 def fintrz(x): return fint(x, "rz")
 
 
-def exponent(a: Column) -> Column:
-    """Binary exponent of a positive finite number; log2 alone is off by one near powers of two."""
-    guess = F.floor(F.log2(a)).cast("int")
-    p = F.pow(F.lit(2.0), guess)
-    return guess + F.when(a >= p * 2, 1).when(a < p, -1).otherwise(0)
+_parts = StructType([StructField("man", DoubleType()), StructField("exp", DoubleType())])
+
+
+@F.arrow_udf(_parts)
+def number_parts(x: pa.Array) -> pa.Array:
+    """Significand in [1, 2) and binary exponent; zeros pass through, infinities and NaN give NaN.
+
+    SQL has no way to the exponent field, and a logarithm is off by one near
+    powers of two, so this pair comes from an Arrow batch.
+    """
+    v = x.to_numpy(zero_copy_only=False)
+    none = x.is_null().to_numpy(zero_copy_only=False)
+    man, exp = np.frexp(v)
+    zero, gone = v == 0, ~np.isfinite(v)
+    return pa.StructArray.from_arrays([
+        pa.array(np.where(gone, np.nan, np.where(zero, v, man * 2)), mask=none),
+        pa.array(np.where(gone, np.nan, np.where(zero, v, exp - 1.0)), mask=none),
+    ], names=["man", "exp"])
 
 
 def fgetexp(x: Column) -> Column:
-    return F.when(F.isnan(x) | isinf(x), _nan()).when(x == 0, x).otherwise(exponent(F.abs(x)).cast("double"))
+    return number_parts(x).getField("exp")
 
 
 def fgetman(x: Column) -> Column:
     """Significand in [1, 2) with the sign of the operand."""
-    return (
-        F.when(F.isnan(x) | isinf(x), _nan()).when(x == 0, x)
-        .otherwise(x / F.pow(F.lit(2.0), exponent(F.abs(x))))
-    )
+    return number_parts(x).getField("man")
 
 
 # --- two operands --------------------------------------------------------
@@ -151,21 +164,15 @@ def fmod(x: Column, y: Column) -> Column:
     return _mod_domain(x, y, _mod(x, y))
 
 
-def _nearest_up(a: Column, b: Column) -> tuple[Column, Column]:
-    """Remainder of a by b below 2b, and whether the nearest-even quotient rounds up.
+def frem(x: Column, y: Column) -> Column:
+    """Remainder with the quotient rounded to nearest, ties to even.
 
-    Reducing by 2b first keeps the parity of the quotient without forming it.
+    Reduced by 2|y| first, which keeps the parity of the quotient without
+    forming it; the halfway cases at |y|/2 and 3|y|/2 go to the even side.
     """
-    two = _mod(a, b * 2)
-    odd = two >= b
-    rest = F.when(odd, two - b).otherwise(two)
-    return rest, (rest * 2 > b) | ((rest * 2 == b) & odd)
-
-
-def frem(x: Column, y: Column) -> Column:
-    """Remainder with the quotient rounded to nearest, ties to even."""
-    rest, up = _nearest_up(F.abs(x), F.abs(y))
-    size = F.when(up, rest - F.abs(y)).otherwise(rest)
+    b = F.abs(y)
+    two = _mod(F.abs(x), b * 2)
+    size = F.when(two * 2 <= b, two).when((two - b) * 2 < b, two - b).otherwise(two - b * 2)
     return _mod_domain(x, y, F.when(signbit(x), -size).otherwise(size))
 
 
@@ -174,7 +181,9 @@ def fquotient(x: Column, y: Column, nearest: bool = False) -> Column:
     a, b = F.abs(x), F.abs(y)
     cut = F.rint((_mod(a, b * 128) - _mod(a, b)) / F.when(b == 0, F.lit(1.0)).otherwise(b)).cast("bigint")
     if nearest:
-        cut = (cut + F.when(_nearest_up(a, b)[1], 1).otherwise(0)) % 128
+        two = _mod(a, b * 2)
+        down = (two * 2 <= b) | ((two >= b) & ((two - b) * 2 < b))
+        cut = (cut + F.when(down, 0).otherwise(1)) % 128
     byte = cut + F.when(signbit(x) != signbit(y), 128).otherwise(0)
     bad = F.isnan(x) | F.isnan(y) | isinf(x) | isinf(y) | (y == 0)
     return F.when(bad, F.lit(None).cast("bigint")).otherwise(byte)

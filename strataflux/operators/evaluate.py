@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataflux.functions import conditions, fbits, ieee
 from strataflux.operators.conformance import check_results
+from strataflux.operators.scan import hold
 
 _PLAIN = [n for n in ieee.MONADIC if n not in ("fint", "fintrz")]
 
@@ -46,12 +47,12 @@ def run_vectors(bound: DataFrame) -> DataFrame:
         "suite", "line_no", "op", "rmode", "prec", "exact", "exp_flags",
         F.lower(F.hex("in1")).alias("_h1"), F.lower(F.hex("in2")).alias("_h2"), F.lower(F.hex("exp1")).alias("exp1"),
         F.when(F.col("in1_from").isNotNull(), F.col("in1_from")).when(two, "x").otherwise(F.col("size")).alias("_s1"), F.col("size").alias("_s2"), two.alias("_two"))
-    values = named.select("*", fbits.value(F.col("_h1"), F.col("_s1")).alias("_x"), fbits.value(F.col("_h2"), F.col("_s2")).alias("_y"))
+    values = hold(named, _x=fbits.value(F.col("_h1"), F.col("_s1")), _y=fbits.value(F.col("_h2"), F.col("_s2")))
     exact_in = F.when(F.col("_s1") == "x", _low_bits_clear(F.col("_h1"))).otherwise(F.col("_s1") != "p") & F.when(
         F.col("_two") & (F.col("_s2") == "x"), _low_bits_clear(F.col("_h2"))).otherwise(~(F.col("_two") & (F.col("_s2") == "p")))
     rounded = (F.col("rmode") != "rn") & ~F.col("op").isin("fint", "fintrz", "fabs", "fneg")
-    done = values.select("*", (~exact_in | rounded).alias("_unfit"), _result(F.col("op"), F.col("rmode"), F.col("_x"), F.col("_y")).alias("_r"))
-    hexed = done.select("*", fbits.extended_digits(F.col("_r")).alias("act1"), F.lit("x").alias("size"))
+    done = hold(values, _unfit=~exact_in | rounded, _r=_result(F.col("op"), F.col("rmode"), F.col("_x"), F.col("_y")))
+    hexed = hold(done, act1=fbits.extended_digits(F.col("_r"))).withColumn("size", F.lit("x"))
     codes = conditions.ftst(F.col("_r"))
     judged = check_results(hexed).withColumn("failed", F.concat(*[
         F.when(F.element_at("exp_flags", c) != codes.getField(c), F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflux.functions import fbits
-from strataflux.operators.scan import FillForward, RunningSum, scan
+from strataflux.operators.scan import FillForward, RunningSum, hold, scan
 
 # Words of the vector format.
 ENABLES = ("bsun", "snan", "operr", "ovfl", "unfl", "dz", "inex2", "inex1")
@@ -74,15 +74,6 @@ _LEFT = ("^(" + "|".join(ROUNDINGS + PRECISIONS + PLACES) + "|~?(" + "|".join(EN
 _RIGHT = "^(~?(" + "|".join(STATUS + TRAPS + ("t",)) + ")|f|q:.*)$"
 
 
-def hold(df: DataFrame, **cols) -> DataFrame:
-    """Add columns that later filters cannot copy below this point.
-
-    A filter on a derived column is otherwise pushed down with the whole
-    expression inlined at each use, which array functions then evaluate again.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed rows of the test lines, and the rejected lines with a reason.
 
