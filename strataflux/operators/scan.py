@@ -29,7 +29,6 @@ _LAST = "_last"
 
 _before = (W.unboundedPreceding, -1)
 _upto = (W.unboundedPreceding, 0)
-_after = (1, W.unboundedFollowing)
 
 
 @dataclass(frozen=True)
@@ -73,18 +72,23 @@ class FillForward:
 
 @dataclass(frozen=True)
 class FillBackward:
-    """First non-null value after the current row."""
+    """First non-null value after the current row.
+
+    Read from the far end: a frame that runs to the last row is evaluated anew
+    for every row, one that starts at the first row only grows.
+    """
 
     value: Column
+    backward = True
 
     def summary(self, key: Column) -> Column:
         return F.min_by(self.value, F.when(self.value.isNotNull(), key))
 
     def carry(self, total: Column, chunks) -> Column:
-        return F.first(total, ignorenulls=True).over(chunks.rowsBetween(*_after))
+        return F.last(total, ignorenulls=True).over(chunks.rowsBetween(*_before))
 
     def local(self, rows) -> Column:
-        return F.first(self.value, ignorenulls=True).over(rows.rowsBetween(*_after))
+        return F.last(self.value, ignorenulls=True).over(rows.rowsBetween(*_before))
 
     def merge(self, local: Column, carry: Column) -> Column:
         return F.coalesce(local, carry)
@@ -143,13 +147,19 @@ def scan(df: DataFrame, part: list[str], order: list[str], *stages: dict, width:
     cur = df.withColumn(CHUNK, lead if width is None else F.floor(lead / F.lit(width)).cast("bigint"))
     rows = W.partitionBy(*part, CHUNK).orderBy(*order)
     chunks = W.partitionBy(*part).orderBy(CHUNK)
+    back_rows = W.partitionBy(*part, CHUNK).orderBy(*[F.desc(c) for c in order])
+    back_chunks = W.partitionBy(*part).orderBy(F.desc(CHUNK))
+
+    def way(step, forward, backward):
+        return backward if getattr(step, "backward", False) else forward
+
     for stage in stages:
         names = list(stage)
         summary = cur.groupBy(*part, CHUNK).agg(*[stage[n].summary(key).alias(f"_s_{n}") for n in names])
         carries = summary.select(
-            *part, CHUNK, *[stage[n].carry(F.col(f"_s_{n}"), chunks).alias(f"_c_{n}") for n in names]
+            *part, CHUNK, *[stage[n].carry(F.col(f"_s_{n}"), way(stage[n], chunks, back_chunks)).alias(f"_c_{n}") for n in names]
         )
-        local = [stage[n].local(rows).alias(f"_l_{n}") for n in names]
+        local = [stage[n].local(way(stage[n], rows, back_rows)).alias(f"_l_{n}") for n in names]
         if any(isinstance(s, Previous) for s in stage.values()):
             local.append(F.lag(F.lit(1)).over(rows).isNull().alias(_FIRST))
         if any(isinstance(s, Following) for s in stage.values()):

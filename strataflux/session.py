@@ -10,8 +10,10 @@ from pyspark.sql import SparkSession
 
 # What the jobs rely on: AQE splits skewed join partitions and merges small
 # ones, so the shuffle count can be set high on a cluster. Arrow carries the
-# few pandas functions.
+# few pandas functions. The JVM leaves methods over 8,000 bytes uncompiled, so
+# wide projections are better off split than fused into one such method.
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
