@@ -145,8 +145,9 @@ def change_pack(df: DataFrame, part: list[str], order: str, value: str,
 def change_unpack(kept: DataFrame, bitmap: DataFrame, part: list[str], width: int | None = WIDTH) -> DataFrame:
     """Rebuild `(part, pos, val)` from kept bytes and bitmap.
 
-    Only changed positions look up a kept byte, one to one; the rest fill
-    forward, so one long unchanged stretch is not one join key.
+    Only changed positions look up a kept byte, one to one, and the rest fill
+    forward. An unchanged position joins under a key of its own that no kept
+    byte has, so a long unchanged stretch is not one join key.
     """
     flags = bitmap.select(
         *part,
@@ -159,10 +160,9 @@ def change_unpack(kept: DataFrame, bitmap: DataFrame, part: list[str], width: in
         ).alias("_e"),
     ).select(*part, "_e.pos", "_e.flag")
     numbered = scan(flags, part, ["pos"], {"ordinal": RunningSum(F.col("flag"))}, width=width)
-    changed = numbered.where("flag = 1").join(kept.select(*part, "ordinal", "val"), [*part, "ordinal"], "left")
-    same = numbered.where("flag = 0").withColumn("val", F.lit(None).cast("bigint"))
-    both = changed.select(*part, "pos", "val").unionByName(same.select(*part, "pos", "val"))
-    filled = scan(both, part, ["pos"], {"_v": FillForward(F.col("val"))}, width=width)
+    keyed = numbered.select(*part, "pos", F.when(F.col("flag") == 1, F.col("ordinal")).otherwise(-1 - F.col("pos")).alias("ordinal"))
+    found = keyed.join(kept.select(*part, "ordinal", "val"), [*part, "ordinal"], "left")
+    filled = scan(found, part, ["pos"], {"_v": FillForward(F.col("val"))}, width=width)
     return filled.select(*part, "pos", F.coalesce("_v", F.lit(0)).alias("val"))
 
 

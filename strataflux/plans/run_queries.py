@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataflux.operators import runs as R
 from strataflux.plans import fixtures_sql as X
 from strataflux.plans.registry import query
+from strataflux.session import scratch_path
 from strataflux.sources import tables as T
 
 DELTA_ORDER = ["ord1", "ord2", "ord3", "delta"]
@@ -186,8 +187,13 @@ def change_pack_second_level(spark, d):
 
 @query("change_unpack", PACKED + "select part, pos, b as val from placed")
 def change_unpack(spark, d):
-    kept, bitmap = _packed(spark, d)
-    return R.change_unpack(kept, bitmap, ["part"])
+    # packed data is stored data: unpacking starts from what was written
+    stored = []
+    for name, df in zip(("kept", "bitmap"), _packed(spark, d)):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    return R.change_unpack(*stored, ["part"])
 
 
 @query("fixup_offsets", X.with_(X.STEP_BYTES) + """, stepped as (
