@@ -60,9 +60,9 @@ sh as (
     select distinct doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') as s
     from words, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) as r(i)),
 size as (select doc_id, count(*) as n from sh group by doc_id),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
 link as (
-    select a, b from both join size x on x.doc_id = a join size y on y.doc_id = b
+    select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b
     where 100 * k >= 80 * (x.n + y.n - k)),
 edge as (select a, b from link union all select b, a from link),
 reach(doc_id, seen) as (
