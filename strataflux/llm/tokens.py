@@ -15,7 +15,7 @@ import re
 
 VOCABULARY = "word_bpe_49k.json"
 VOCABULARY_SIZE = 49_408
-CACHE_WORDS = 500_000  # a worker's cache is emptied beyond this: bounded memory, same ids
+CACHE_WORDS = 300_000  # words of a cache generation; two are held, so memory is bounded whatever the corpus
 
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -32,6 +32,27 @@ def _lowered() -> bytes:
     return bytes(table)
 
 
+class Cache(dict):
+    """Two generations: words used lately survive the turn, the rest is forgotten and encoded again when met."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old, self.unknown = limit, {}, set()
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        value = self.old.get(word)
+        if value is None:
+            self.unknown.add(word)
+        else:
+            self[word] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """`encode` gives the ids of each text as little-endian unsigned 32-bit bytes."""
 
@@ -39,7 +60,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -48,9 +69,11 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.simple = path.endswith(VOCABULARY)
         self.lowered = _lowered()
-        self.pieces = re.compile(PIECE.encode("latin-1")).findall
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.cut = re.compile(PIECE.encode("latin-1")).findall
+        # Pieces are already normalised and cut: the same model without those steps.
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.pieces = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
         self.ends = self._ends()
 
     def _ends(self):
@@ -66,48 +89,69 @@ class Encoder:
 
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode unknown words: cut them as the library does, encode the new pieces in a few calls."""
+    def _learn(self) -> None:
+        """Encode the unknown words: cut them as the library does, encode their new pieces in a few calls."""
         import numpy as np
 
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        parts = self.parts
-        cut = {w: self.pieces(w) for w in words}
-        new = list({p for ps in cut.values() for p in ps if p not in parts})
+        words, pieces = self.words, self.pieces
+        cut = {w: self.cut(w) for w in words.unknown}
+        words.unknown.clear()
+        pieces.turn()
+        known = {w: list(map(pieces.__getitem__, ps)) for w, ps in cut.items()}
+        new = list(pieces.unknown)
+        pieces.unknown.clear()
         for first in range(0, len(new), 1000):
             group = new[first : first + 1000]
-            ids = np.asarray(self.whole.encode_batch_fast([b" ".join(group).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.model.encode_batch_fast([b" ".join(group).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group):
                 raw, begin = ids.tobytes(), 0
                 for p, stop in zip(group, (4 * stops).tolist()):
-                    parts[p] = raw[begin:stop]
+                    pieces[p] = raw[begin:stop]
                     begin = stop
             else:
                 for p in group:
-                    parts[p] = self._library(p.decode("latin-1"))
-        for w, ps in cut.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+                    pieces[p] = self._library(p.decode("latin-1"))
+        for w, values in known.items():
+            if None in values:
+                values = map(pieces.__getitem__, cut[w])
+            words[w] = b"".join(values)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split: list = []
+        import gc
+
+        on = gc.isenabled()
+        gc.disable()  # many short-lived lists and no cycles: the collector would only walk the caches
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
+        words = self.words
+        words.turn()
+        split, values = [], []
         for text in texts:
             try:
                 if not self.simple or text and b"<|" in text:
                     raise ValueError
                 split.append((text or b"").decode("utf-8").encode("latin-1").translate(self.lowered).split())
+                values.append(list(map(words.__getitem__, split[-1])))
             except ValueError:
-                split.append((text or b"").decode("utf-8"))
-        known = self.words
-        unknown = {w for ws in split if type(ws) is list for w in ws if w not in known}
-        if unknown:
-            if len(known) + len(unknown) > CACHE_WORDS:
-                unknown = {w for ws in split if type(ws) is list for w in ws}
-            self._learn(unknown)
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if type(ws) is list else self._library(ws) for ws in split]
+                split.append(None)
+                values.append([self._library((text or b"").decode("utf-8"))])
+        if words.unknown:
+            self._learn()
+            for ws, found in zip(split, values):
+                at = -1
+                try:
+                    while True:
+                        at = found.index(None, at + 1)
+                        found[at] = words[ws[at]]
+                except ValueError:  # no more gaps
+                    pass
+        return [b"".join(found) for found in values]
 
 
 def encoder(path: str | None = None) -> Encoder:
