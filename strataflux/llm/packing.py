@@ -136,6 +136,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
     return source.mapInArrow(run, f"{fields}, {PIECES}" if fields else PIECES)
 
 
-def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pack(common.read(spark, sf_dir, "documents").select("doc_id", "text")))

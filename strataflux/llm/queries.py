@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflux.llm import binary, decontaminate, exact, near, packing
+from strataflux.llm import binary, decontaminate, exact, language, licenses, near, packing, pii, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_anchor_pii": pii.op1_anchor_pii,
     "op2_cost_packing": packing.op2_cost_packing,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_redirect_urls": urls.op4_redirect_urls,
+    "op5_license_digests": licenses.op5_license_digests,
+    "op6_centroid_language": language.op6_centroid_language,
+    "op7_rule_quality": quality.op7_rule_quality,
     "op8_token_files": binary.op8_token_files,
     "op9_block_naming_dedup": exact.op9_block_naming_dedup,
     "op10_sketch_near_dedup": near.op10_sketch_near_dedup,
@@ -74,6 +79,58 @@ from words w left join size z using (doc_id)
 join (select doc_id, min(seen) as component_id from reach group by doc_id) c using (doc_id)
 """
 
+ORACLES["op5_license_digests"] = licenses.SQL
+
+# The host and path of a url, by its first "://".
+HOST = "translate(regexp_extract({u}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+REST = "case when instr({u}, '://') > 0 then substr({u}, instr({u}, '://') + 3) else '' end"
+
+ORACLES["op4_redirect_urls"] = rf"""
+with recursive rules(host, path, verdict) as (values
+    ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+raw as (select page_id, html, {REST.format(u="url")} as rest from pages),
+parsed as (
+    select page_id, html, {HOST.format(u="rest")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+           regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) as query from raw),
+named as (select *, case when host <> '' then host || case when path = '' then '/' else path end || query end as address from parsed),
+tags as (
+    select address, host, path, replace(regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s<>]+)', 1), '&amp;', '&') as link
+    from named, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link\b([^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*)>', 1)) as t(tag)
+    union all
+    select address, host, path, replace(regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s<>]+)', 1), '&amp;', '&')
+    from named, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b([^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*)>', 1)) as t(tag)),
+goals as (
+    select address, case
+        when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+        when starts_with(link, '//') then 'http:' || link
+        when starts_with(link, '/') then 'http://' || host || link
+        when starts_with(link, '#') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+        else 'http://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end as goal
+    from tags where link <> ''),
+ends as (select address as a, {REST.format(u="goal")} as rest from goals where goal is not null),
+link as (
+    select a, {HOST.format(u="rest")} || case when regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) end
+              || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) as b from ends where rest <> ''),
+edge as (select a, b from link where a <> b union select b, a from link where a <> b),
+reach(node, seen) as (select a, a from edge union select r.node, e.b from reach r join edge e on e.a = r.seen),
+judged as (
+    select n.address, arg_max(r.verdict, length(r.host || r.path)) as verdict
+    from (select distinct seen as address from reach) n
+    join rules r on (regexp_extract(n.address, '^[^/?#]*') = r.host or ends_with(regexp_extract(n.address, '^[^/?#]*'), '.' || r.host))
+        and starts_with(regexp_extract(n.address, '^[^/?#]*([^?#]*)', 1), r.path)
+    group by n.address),
+fate as (
+    select r.node as address, bool_or(j.verdict = 'block') and not bool_or(j.verdict = 'allow') as blocked
+    from reach r join judged j on j.address = r.seen group by r.node),
+fitting as (
+    select p.page_id, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) as fit
+    from parsed p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+    group by p.page_id)
+select p.page_id, p.host, p.path, f.fit.rule as rule,
+       coalesce(f.fit.verdict, case when t.blocked then 'block' end, 'allow') as verdict
+from named p left join fitting f using (page_id) left join fate t using (address)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
