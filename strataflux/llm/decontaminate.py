@@ -89,7 +89,7 @@ class Scanner:
 
 def places(text: bytes, runs: list[list[int]]) -> list[tuple[int, int, int, int]]:
     """Word runs with their code point offsets in the text itself."""
-    bounds = np.asarray([m.span() for m in WORD.finditer(text)], np.int64)
+    bounds = np.asarray([m.span() for m in WORD.finditer(text.lower())], np.int64)
     lead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
     return [(a, b, int(lead[bounds[a, 0]]), int(lead[bounds[b, 1]])) for a, b in runs]
 
