@@ -15,9 +15,12 @@ Links inside a bucket are confirmed on the full shingle sets, without emitting
 all pairs: first every class is compared with the least class it meets, then in
 rounds a few leaders per bucket are compared with all its members that are not
 already in their component, and leave the bucket. A bucket is finished when its
-remaining members are one component; leaders per bucket grow fourfold a round. So
-a group of n close copies costs about n comparisons, and yet every pair that
-meets in a bucket is either compared or already connected. Nothing is capped.
+remaining members are one component; leaders per bucket grow fourfold a round.
+Exact bounds come before comparisons: pairs that share a rare shingle are tested
+by that shingle; all others share frequent shingles only, whose number bounds
+their similarity, which tells the outliers of a group of copies from its members. So a group of n close copies costs about n comparisons,
+and yet every pair that meets in a bucket is compared, ruled out by a bound or
+already connected. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflux.llm import common, graph
 from strataflux.llm.words import M1, Hashes, SPACED, mixed, shingles
 
 BANDS, ROWS = 72, 8
+RARE = 16  # a shingle of at most so many open classes names its pairs itself; more only shift work between two exact ways
 LOW = np.uint64((1 << 44) - 1)
 S44, S20 = np.uint64(44), np.uint64(20)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,6 +121,25 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return sides.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def rare_items(nodes: DataFrame, texts: DataFrame, size: int, rare: int = RARE) -> DataFrame:
+    """(node, item, holders): the shingles of `nodes` that at most `rare` of them hold."""
+
+    def make():
+        hashes = Hashes()
+
+        def fn(found: list) -> list:
+            sets = [shingle_set(t, hashes, size).view(np.int64) for t in found]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+            return [("items", pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets))))]
+
+        return fn
+
+    items = common.map_texts(texts.join(nodes, "node", "left_semi").select("node", "text"), make, "items array<long>")
+    items = common.stored(items.select("node", F.explode("items").alias("item")), "open-items")
+    few = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") <= rare)
+    return common.stored(items.join(few, "item"), "rare-items")
+
+
 class _Search:
     """Labels of classes while links are confirmed bucket by bucket."""
 
@@ -124,58 +147,89 @@ class _Search:
         self.members, self.texts, self.size, self.percent = members, texts, size, percent
         self.labels = self.tested = None
 
-    def pairs(self, met: DataFrame) -> DataFrame:
-        """Pairs to test out of (node, n, other, m): sizes that allow a link, not in one component, not tested before."""
-        fits = F.lit(100) * F.least("n", "m") >= F.lit(self.percent) * F.greatest("n", "m")
-        found = met.where((F.col("node") != F.col("other")) & fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if self.tested is not None:
-            found = found.join(self.tested, ["a", "b"], "left_anti")
-        return found
+    def fits(self, most: Column, n: str = "n", m: str = "m") -> Column:
+        """Sets of n and m items with at most `most` in common may reach the bar: 100 * most >= percent * (n + m - most)."""
+        return (100 + self.percent) * most >= self.percent * (F.col(n) + F.col(m))
 
     def test(self, pairs: DataFrame) -> bool:
-        """Confirm pairs, merge components; False when there was nothing to test."""
-        pairs = common.stored(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
+        """Confirm pairs (a, b) that were not tested before, and merge components; False when there was nothing to do."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         result = common.stored(verified(pairs, self.texts, self.size, self.percent), "verified")
         seen = result.select("a", "b")
         self.tested = seen if self.tested is None else self.tested.unionByName(seen)
         links = result.where("linked").select("a", "b")
-        if self.labels is not None:
-            ends = [self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab"]
-            links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-        merged = graph.components(links)
+        if links.isEmpty():
+            return False
         if self.labels is None:
-            self.labels = common.stored(merged, "labels")
-        else:
-            step = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            moved = self.labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            new = merged.join(self.labels, "node", "left_anti")
-            self.labels = common.stored(moved.unionByName(new), "labels")
+            self.labels = graph.components(links)
+            return True
+        ends = [self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab"]
+        links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+        merged = common.stored(graph.components(links), "merged")
+        step = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        moved = self.labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = common.stored(moved.unionByName(merged.join(self.labels, "node", "left_anti")), "labels")
         return True
 
+    def open(self, members: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold two components, with their labels."""
+        if self.labels is not None:
+            members = members.drop("label").join(self.labels, "node", "left")
+            members = members.withColumn("label", F.coalesce("label", "node"))
+        else:
+            members = members.withColumn("label", F.col("node"))
+        mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        return common.stored(members.join(mixed, "bucket", "left_semi"), "open-buckets")
+
+    def by_rare_items(self, rest: DataFrame) -> DataFrame:
+        """Test the pairs that share a rare shingle; give the members that may link with others in their bucket.
+
+        Pairs without a rare shingle in common share frequent ones only, of which
+        a class has n less its rare ones. That exact bound takes out of a bucket
+        the members that can reach no set as large as its smallest one.
+        """
+        classes = common.stored(rest.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label")), "open-classes")
+        items = rare_items(classes.select("node"), self.texts, self.size)
+        counts = items.groupBy("node").agg(F.count(F.when(F.col("holders") == 1, 1)).alias("alone"), F.count(F.lit(1)).alias("rare"))
+        known = classes.join(counts, "node", "left").select("node", "n", "label", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent"))
+        known = common.stored(known, "open-profiles")
+        side = items.where("holders > 1").join(known.where(100 * F.col("shared") >= self.percent * F.col("n")), "node").select("item", "node", "n", "label", "shared")
+        other = side.select("item", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"), F.col("shared").alias("o"))
+        met = side.join(other, "item").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("l")) & self.fits(F.least("shared", "o")))
+        self.test(met.select(F.col("node").alias("a"), F.col("other").alias("b")))
+        rest = rest.join(known.where(100 * F.col("frequent") >= self.percent * F.col("n")).select("node", "frequent"), "node")
+        smallest = rest.groupBy("bucket").agg(F.min("n").alias("m"))
+        return rest.join(smallest, "bucket").where(self.fits(F.col("frequent"))).drop("m")
+
     def run(self) -> DataFrame | None:
         least = self.members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"))
-        fits = F.lit(100) * F.least("n", "m") >= F.lit(self.percent) * F.greatest("n", "m")
         met = self.members.join(least, "bucket").select("node", "n", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"))
-        first = met.where((F.col("node") != F.col("other")) & fits).groupBy("node", "n").agg(F.min(F.struct("other", "m")).alias("lead")).select("node", "n", F.col("lead.other").alias("other"), F.col("lead.m").alias("m"))
-        self.test(self.pairs(first))
-        slots, turn = 1, 0
-        while True:
-            if self.labels is None:
-                self.labels = self.members.select("node", F.col("node").alias("label")).limit(0)
-            labelled = self.members.join(self.labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-            labelled = common.stored(labelled, "labelled")
-            open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            rest = common.stored(labelled.join(open_, "bucket", "left_semi"), "open-buckets")
-            if rest.isEmpty():
-                return self.labels
+        met = met.where((F.col("node") != F.col("other")) & self.fits(F.least("n", "m")))
+        first = met.groupBy("node").agg(F.min("other").alias("other"))
+        self.test(first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+        rest = self.open(self.members)
+        if rest.isEmpty():
+            return self.labels
+        rest = self.open(self.by_rare_items(rest))
+        lead = F.struct((F.col("n") - F.col("frequent")).alias("rare"), "node", "n", "label", "frequent")  # few rare shingles: it links with most others
+        others = lambda leaders: leaders.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("frequent").alias("o"), F.col("label").alias("l"), "rare")
+        pair = (F.col("label") != F.col("l")) & self.fits(F.least("frequent", "o"))
+        # Once more one comparison for each class, now with the best leader it meets.
+        best = others(rest.groupBy("bucket").agg(F.min(lead).alias("lead")).select("bucket", "lead.*"))
+        met = rest.join(best, "bucket").where(pair).groupBy("node").agg(F.min(F.struct("rare", "other")).alias("best")).select("node", "best.other")
+        self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+        rest = self.open(rest)
+        slots, turn = 4, 0
+        while not rest.isEmpty():
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots)).alias("slot")
-            leaders = common.stored(rest.groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "label")).alias("lead")).select("bucket", "lead.*"), "leaders")
-            others = leaders.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("l"))
-            self.test(self.pairs(rest.join(others, "bucket").where("label != l")))
-            self.members = rest.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+            leaders = common.stored(rest.groupBy("bucket", slot).agg(F.min(lead).alias("lead")).select("bucket", "lead.*"), "leaders")
+            met = rest.join(others(leaders), "bucket").where(pair)
+            self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+            rest = self.open(rest.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"))
             slots, turn = slots * 4, turn + 1
+        return self.labels
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -202,6 +256,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
     if not drawn.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         texts = common.stored(texts.dropDuplicates(["node"]), "texts")
     labels = _Search(members, texts, size, percent).run()
+    if labels is None:
+        labels = members.select("node", F.col("node").alias("label")).limit(0)
     named = classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
     named = common.stored(named, "components")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
