@@ -92,18 +92,33 @@ def length_bin(n_grams: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(n_grams, 1)).astype(int).clip(0, 31)
 
 
+def dense(rows: list[bytes]) -> np.ndarray:
+    """Matrix of the sparse rows that `fit` collects: places, then counts, as uint16."""
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for i, raw in enumerate(rows):
+        places, values = np.frombuffer(raw, "<u2").reshape(2, -1)
+        out[i, places] = values
+    return out
+
+
 class Model:
-    def __init__(self, counts: np.ndarray, langs: list[str], whole: np.ndarray):
-        """`whole` marks rows of whole texts; the others are snippets and only set the bars."""
-        names = np.array(langs)
-        df = (counts[whole] > 0).sum(0)
-        self.idf = (np.log((1 + whole.sum()) / (1 + df)) + 1).astype(np.float32)
-        rows = weighted(counts, self.idf)
-        parts = [(lang, spherical(rows[whole & (names == lang)], CENTROIDS)) for lang in sorted(set(names[whole]))]
+    def __init__(self, rows: list[tuple[str, bool, bytes]]):
+        """`rows`: language, whether a whole text, sparse counts. Snippets only set the bars, a few rows at a time."""
+        langs = np.array([lang for lang, whole, _ in rows if whole])
+        counts = dense([raw for _, whole, raw in rows if whole])
+        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+        counts = weighted(counts, self.idf)
+        parts = [(str(lang), spherical(counts[langs == lang], CENTROIDS)) for lang in np.unique(langs)]
         self.langs = [lang for lang, c in parts for _ in c]
         self.centroids = np.concatenate([c for _, c in parts]).astype(np.float32)
-        own = np.where(names[:, None] == np.array(self.langs)[None, :], rows @ self.centroids.T, -1).max(1)
-        bins = length_bin(counts.sum(1))
+        own, bins = [], []
+        for at in range(0, len(rows), 500):
+            names = np.array([lang for lang, _, _ in rows[at : at + 500]])
+            group = dense([raw for _, _, raw in rows[at : at + 500]])
+            bins.append(length_bin(group.sum(1)))
+            near = weighted(group, self.idf) @ self.centroids.T
+            own.append(np.where(names[:, None] == np.array(self.langs)[None, :], near, -1).max(1))
+        own, bins = np.concatenate(own), np.concatenate(bins)
         known = {b: MARGIN * float(np.quantile(own[bins == b], QUANTILE)) for b in set(bins.tolist())}
         self.bars = np.array([known[min(known, key=lambda b: (abs(b - i), b))] for i in range(32)])
 
@@ -147,19 +162,8 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
         return fn
 
     sample = common.map_texts(_sample(docs, train), make, "vectors array<binary>").collect()
-    langs, counts, whole = [], [], []
-    for row in sample:
-        for i, raw in enumerate(row["vectors"]):
-            places, values = np.frombuffer(raw, "<u2").reshape(2, -1)
-            if len(places):
-                dense = np.zeros(DIMS, np.float32)
-                dense[places] = values
-                langs.append(row["lang"])
-                counts.append(dense)
-                whole.append(i == 0)
-    if not any(whole):
-        return None
-    return Model(np.array(counts), langs, np.array(whole))
+    rows = [(row["lang"], i == 0, bytes(raw)) for row in sample for i, raw in enumerate(row["vectors"]) if len(raw)]
+    return Model(rows) if any(whole for _, whole, _ in rows) else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
