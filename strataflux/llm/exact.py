@@ -34,6 +34,10 @@ def fingerprints(block: F.Column, seed: int) -> F.Column:
     return F.struct(F.xxhash64(F.lit(2 * seed), block).alias("f1"), F.xxhash64(F.lit(2 * seed + 1), block).alias("f2"))
 
 
+def _with(fingerprint, seed: int):
+    return lambda piece: fingerprint(piece, seed)  # one parameter: F.transform would fill a second one with the place
+
+
 def _pieces(block: int) -> F.Column:
     last = F.greatest(F.lit(0), F.floor((F.length("bytes") - 1) / block)).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("bytes"), i * block + 1, F.lit(block)))
@@ -48,7 +52,7 @@ def identities(docs: DataFrame, block: int = BLOCK, fingerprint=fingerprints) ->
     """rows (row_id, doc_id, text_sha256) as read and names (row_id, depth, name)."""
     bytes_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().cast("binary").alias("bytes"))
     for seed in range(1_000):
-        prints = F.transform(_pieces(block), lambda p, s=seed: fingerprint(p, s))
+        prints = F.transform(_pieces(block), _with(fingerprint, seed))
         rows = common.stored(bytes_.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.sha2("bytes", 256).alias("text_sha256"), prints.alias("prints")), "rows")
         pieces = bytes_.select(F.explode(_pieces(block)).alias("block")).select(fingerprint(F.col("block"), seed).alias("p"), "block")
         distinct = pieces.groupBy(F.col("p.f1").alias("f1"), F.col("p.f2").alias("f2"), "block").agg(F.count(F.lit(1)).alias("copies"))
