@@ -164,6 +164,9 @@ def fmod(x: Column, y: Column) -> Column:
     return _mod_domain(x, y, _mod(x, y))
 
 
+MAX_HALF = 2.0**1023 * (1 - 2.0**-53)  # the largest double whose double is finite
+
+
 def frem(x: Column, y: Column) -> Column:
     """Remainder with the quotient rounded to nearest, ties to even.
 
@@ -171,8 +174,9 @@ def frem(x: Column, y: Column) -> Column:
     forming it; the halfway cases at |y|/2 and 3|y|/2 go to the even side.
     """
     b = F.abs(y)
-    two = _mod(F.abs(x), b * 2)
-    size = F.when(two * 2 <= b, two).when((two - b) * 2 < b, two - b).otherwise(two - b * 2)
+    two = F.when(b <= MAX_HALF, _mod(F.abs(x), b * 2)).otherwise(F.abs(x))  # beyond, 2|y| is more than any |x|
+    over = two - b
+    size = F.when(two <= b - two, two).when(over < b - over, over).otherwise(over - b)  # no doubled value, so no overflow
     return _mod_domain(x, y, F.when(signbit(x), -size).otherwise(size))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,15 @@ def build_session(app: str = "strataflux", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: `spark.checkpoint.dir` when the cluster names one.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made.
+    Only where the setting is absent and the master is local (tests, a laptop) a
+    local folder is made; on a cluster executors would not share it, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     fallback = os.environ.get("STRATAFLUX_LOCAL_SCRATCH")
     if not fallback:
         fallback = tempfile.mkdtemp(prefix="strataflux-")

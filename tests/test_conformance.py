@@ -173,3 +173,25 @@ def test_legal_packed_mix(spark):
     n = df.count()
     special = df.where("in1 like '_fff%'").count()
     assert 0.1 < special / n < 0.3
+
+
+def test_remainder_of_large_divisors(spark):
+    from math import remainder
+
+    pairs = [(1.9 * 2.0**1023, 1.1 * 2.0**1023), (1.2 * 2.0**1023, 1.1 * 2.0**1023), (2.0**1023, 2.0**1023), (3.0, 1.7 * 2.0**1023), (7.5, 3.0), (4.5, 3.0), (-1.5, 1.0)]
+    got = spark.createDataFrame(pairs, "x double, y double").select(ieee.frem(F.col("x"), F.col("y")).alias("r"), "x", "y").collect()
+    assert [r["r"] for r in got] == [remainder(r["x"], r["y"]) for r in got]
+
+
+def test_no_local_scratch_on_a_cluster(spark):
+    from strataflux.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Cluster:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster())
