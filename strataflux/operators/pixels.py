@@ -112,24 +112,14 @@ def gamma_chroma(df: DataFrame, gamma: float, chroma: float, ranges=(8, 4, 4), g
 def split_levels(colours: int) -> tuple[int, int, int]:
     """Levels per red, green, blue whose product stays within `colours`.
 
-    Starts from the cube root and raises green, red, blue in turn while the
-    product still fits.
+    Blue, which the eye resolves least, has the whole cube root. Red has one
+    more where red and green can both have it; green takes what is left.
     """
-    root = 1
-    while (root + 1) ** 3 <= colours:
-        root += 1
-    if root < 2:
+    if colours < 8:
         raise ValueError("at least 8 colours are needed")
-    n = {"r": root, "g": root, "b": root}
-    grew = True
-    while grew:
-        grew = False
-        for name in "grb":
-            raised = {**n, name: n[name] + 1}
-            if raised["r"] * raised["g"] * raised["b"] > colours:
-                break
-            n, grew = raised, True
-    return n["r"], n["g"], n["b"]
+    blue = max(n for n in range(2, int(colours ** (1 / 3)) + 2) if n**3 <= colours)
+    red = blue + (blue * (blue + 1) ** 2 <= colours)
+    return red, colours // (red * blue), blue
 
 
 def _level(v: Column, n: int) -> Column:

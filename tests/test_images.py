@@ -45,7 +45,10 @@ def test_histogram_counts_every_pixel(image):
 
 
 def test_levels():
-    assert P.split_levels(256) == (6, 7, 6) and P.split_levels(16) == (2, 4, 2)
+    assert P.split_levels(256) == (6, 7, 6) and P.split_levels(16) == (2, 4, 2) and P.split_levels(8) == (2, 2, 2) and P.split_levels(12) == (2, 3, 2) and P.split_levels(27) == (3, 3, 3)
+    for colours in range(8, 2000):
+        r, g, b = P.split_levels(colours)
+        assert b <= r <= g and r * g * b <= colours < r * (g + 1) * b and b**3 <= colours < (b + 1) ** 3
 
 
 def test_dither_matrix(spark):
