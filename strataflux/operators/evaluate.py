@@ -36,15 +36,20 @@ def _low_bits_clear(digits: Column) -> Column:
 
 
 def run_vectors(bound: DataFrame) -> DataFrame:
-    """Vectors of one or two operands and one result with `act1`, `ulps`, `tol`, `failed` and `verdict`.
+    """One row per bound vector with `act1`, `ulps`, `tol`, `failed` and `verdict`.
 
     `failed` lists the condition codes (n, z, i, nan) that differ from the
-    expectation; other status flags have no counterpart in DOUBLE arithmetic.
+    expectation. A vector that is not run (branches, two results, tests, moves
+    out, no operand or no expectation) is `not_judged`. So is one whose result
+    and codes are right but which expects more than they: other flags, a
+    quotient byte, a second result. An unchecked expectation never reads as ok.
     """
     two = F.col("arity") == 2
-    ready = bound.where("has_expect and in1 is not null and exp1 is not null and arity in (1, 2) and op not in ('fsincos', 'ftst')")
-    named = ready.select(
-        "suite", "line_no", "op", "rmode", "prec", "exact", "exp_flags",
+    runs = F.coalesce(F.expr("""has_expect and in1 is not null and exp1 is not null and not moves_out
+        and (arity = 1 or arity = 2 and in2 is not null) and op not in ('fsincos', 'ftst')"""), F.lit(False))
+    more = F.exists(F.map_keys("exp_flags"), lambda k: ~k.isin("n", "z", "i", "nan")) | F.col("qbyte").isNotNull() | F.col("exp2").isNotNull()
+    named = bound.select(
+        "suite", "line_no", "op", "rmode", "prec", "exact", "exp_flags", runs.alias("_runs"), F.coalesce(more, F.lit(False)).alias("_more"),
         F.lower(F.hex("in1")).alias("_h1"), F.lower(F.hex("in2")).alias("_h2"), F.lower(F.hex("exp1")).alias("exp1"),
         F.when(F.col("in1_from").isNotNull(), F.col("in1_from")).when(two, "x").otherwise(F.col("size")).alias("_s1"), F.col("size").alias("_s2"), two.alias("_two"))
     values = hold(named, _x=fbits.value(F.col("_h1"), F.col("_s1")), _y=fbits.value(F.col("_h2"), F.col("_s2")))
@@ -61,6 +66,8 @@ def run_vectors(bound: DataFrame) -> DataFrame:
     wrong = (F.col("verdict") == "mismatch") | (F.size("failed") > 0)
     # an exact operation whose full result has more than 53 bits cannot be judged
     too_fine = F.col("exact") & ~_low_bits_clear(F.col("exp1"))
+    shown = [F.when(F.col("_runs"), F.col(c)).alias(c) for c in ("act1", "ulps", "tol", "failed")]
     return judged.select(
-        "suite", "line_no", "op", "exp1", "act1", "ulps", "tol", "failed",
-        F.when(wrong & (F.col("_unfit") | too_fine), "not_representable").when(wrong, "mismatch").otherwise("ok").alias("verdict"))
+        "suite", "line_no", "op", "exp1", *shown,
+        F.when(~F.col("_runs"), "not_judged").when(wrong & (F.col("_unfit") | too_fine), "not_representable").when(wrong, "mismatch")
+        .when(F.col("_more"), "not_judged").otherwise("ok").alias("verdict"))

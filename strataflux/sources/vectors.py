@@ -137,6 +137,7 @@ def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.filter("_lw", lambda t: t.isin(*ENABLES)).alias("enables"), F.filter("_lw", lambda t: t.isin(*CODES)).alias("codes"),
         F.unhex("_i1.digits").alias("in1"), F.col("_i1.size").alias("in1_from"), F.unhex("_i2.digits").alias("in2"),
         number("_lw", "^(k#:|ks:|kd:)", 10).alias("kfactor"), number("_rw", "^(q:)", 16).alias("qbyte"),
+        F.array_contains("_lw", "out").alias("moves_out"),
         "has_expect", F.unhex("_e1.digits").alias("exp1"), F.unhex("_e2.digits").alias("exp2"),
         flag_map.alias("exp_flags"), "verbose", "raw",
     )

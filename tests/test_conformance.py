@@ -83,8 +83,17 @@ def test_evaluate(spark, lines):
     vectors, _ = V.parse_vectors(lines)
     bound, _ = C.bind_ops(vectors, C.catalogue(spark))
     got = {r.line_no: r.verdict for r in E.run_vectors(bound).collect()}
-    # line 9 expects a bit beyond 53: no pass, no failure
-    assert got == {4: "ok", 5: "ok", 6: "ok", 8: "ok", 9: "not_representable"}
+    # line 9 expects a bit beyond 53; line 4 a quotient byte; 10 to 12 are a branch, a move out and a line without expectation
+    assert got == {4: "not_judged", 5: "ok", 6: "ok", 8: "ok", 9: "not_representable", 10: "not_judged", 11: "not_judged", 12: "not_judged"}
+
+
+@pytest.mark.parametrize("expected, verdict", [
+    ("", "ok"), ("~n", "ok"), ("n", "mismatch"), ("~n inex2", "not_judged"), ("~n q:11", "not_judged"), ("n inex2", "mismatch")])
+def test_unchecked_expectations_never_pass(spark, tmp_path, expected, verdict):
+    (tmp_path / "one.vec").write_text(f"fabs.d bff8000000000000 = {expected} 3fff0000c000000000000000\n")
+    vectors, _ = V.parse_vectors(V.read_vectors(spark, str(tmp_path)))
+    bound, _ = C.bind_ops(vectors, C.catalogue(spark))
+    assert [r.verdict for r in E.run_vectors(bound).collect()] == [verdict]
 
 
 def test_failures_and_back(spark, folder):
