@@ -15,7 +15,7 @@ Links inside a bucket are confirmed on the full shingle sets, without emitting
 all pairs: first every class is compared with the least class it meets, then in
 rounds a few leaders per bucket are compared with all its members that are not
 already in their component, and leave the bucket. A bucket is finished when its
-remaining members are one component; leaders per bucket grow fourfold a round.
+remaining members are one component; leaders per bucket grow sixteenfold a round.
 Exact bounds come before comparisons: pairs that share a rare shingle are tested
 by that shingle; all others share frequent shingles only, whose number bounds
 their similarity, which tells the outliers of a group of copies from its members. So a group of n close copies costs about n comparisons,
@@ -221,14 +221,14 @@ class _Search:
         met = rest.join(best, "bucket").where(pair).groupBy("node").agg(F.min(F.struct("rare", "other")).alias("best")).select("node", "best.other")
         self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
         rest = self.open(rest)
-        slots, turn = 4, 0
+        slots, turn = 32, 0
         while not rest.isEmpty():
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots)).alias("slot")
             leaders = common.stored(rest.groupBy("bucket", slot).agg(F.min(lead).alias("lead")).select("bucket", "lead.*"), "leaders")
             met = rest.join(others(leaders), "bucket").where(pair)
             self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
             rest = self.open(rest.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"))
-            slots, turn = slots * 4, turn + 1
+            slots, turn = slots * 16, turn + 1
         return self.labels
 
 
