@@ -221,11 +221,17 @@ class _Search:
         met = rest.join(best, "bucket").where(pair).groupBy("node").agg(F.min(F.struct("rare", "other")).alias("best")).select("node", "best.other")
         self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
         rest = self.open(rest)
+        # A pair may meet in many buckets. It is made in the first one that `other` leads and `node` has ever been in:
+        # where `node` has left a bucket it led there itself, so that the pair was dealt with then.
+        at = rest.groupBy("node").agg(F.collect_list("bucket").alias("at"))  # at most one bucket a band
+        rest = common.stored(rest.join(at, "node"), "open-buckets")
+        once = F.col("bucket") == F.array_min(F.array_intersect("at", "led"))
         slots, turn = 32, 0
         while not rest.isEmpty():
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots)).alias("slot")
             leaders = common.stored(rest.groupBy("bucket", slot).agg(F.min(lead).alias("lead")).select("bucket", "lead.*"), "leaders")
-            met = rest.join(others(leaders), "bucket").where(pair)
+            led = leaders.groupBy("node").agg(F.collect_list("bucket").alias("led")).withColumnRenamed("node", "other")
+            met = rest.join(others(leaders).join(led, "other"), "bucket").where(pair & once)
             self.test(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
             rest = self.open(rest.join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti"))
             slots, turn = slots * 16, turn + 1
