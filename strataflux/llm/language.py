@@ -6,10 +6,12 @@ language has up to CENTROIDS centroids from spherical k-means, so that a
 language with several kinds of text is not averaged into one. The nearest
 centroid by cosine names the language.
 
-A text is rejected when it is too far from every centroid for its length. The
-bar follows the length, because short texts lie farther away: training texts and
-snippets of them are binned by their number of n-grams, and a bin's bar is
-MARGIN times a low quantile of their similarity to their own language.
+A text is rejected when it is too far from every centroid for its extent: the
+number of its different n-grams, because a text with few of them lies farther
+away, be it short or one word a thousand times over. Training texts and snippets
+of them are binned by extent, bins with few rows merged; a bin's bar is MARGIN
+times a low quantile of their similarity to their own language, without the low
+outliers of each language, and no bar is lower than that of a smaller extent.
 
 The fit uses at most SAMPLE_ROWS labelled rows, spread over the languages and
 chosen by a hash of doc_id; prediction covers every text whole.
@@ -32,7 +34,8 @@ DIMS = 4096
 CENTROIDS = 4
 SAMPLE_ROWS, PER_LANGUAGE = 8_000, 400
 SNIPPETS = (3, 6, 12, 48, 200)  # code points
-MARGIN, QUANTILE = 0.35, 0.01
+MARGIN, QUANTILE = 0.42, 0.01
+BIN_ROWS = 100
 UNKNOWN = "und"
 SEGMENT = 500_000  # code points turned into numbers at once
 K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -88,8 +91,32 @@ def spherical(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def length_bin(n_grams: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(n_grams, 1)).astype(int).clip(0, 31)
+def extent_bin(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((counts > 0).sum(1), 1)).astype(int)
+
+
+def bars(own: np.ndarray, langs: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The bar of every bin, from each training row's similarity to its own language."""
+    groups, size = [], 0
+    for b, n in zip(*np.unique(bins, return_counts=True)):
+        if not groups or size >= BIN_ROWS:
+            groups.append([])
+            size = 0
+        groups[-1].append(b)
+        size += n
+    if len(groups) > 1 and size < BIN_ROWS:
+        groups[-2:] = [groups[-2] + groups[-1]]
+    out, bar = np.zeros((DIMS - 1).bit_length() + 1), 0.0
+    for group in groups:
+        clean = []
+        for lang in np.unique(langs):
+            rows = own[np.isin(bins, group) & (langs == lang)]
+            if len(rows):
+                low, high = np.quantile(rows, [0.25, 0.75])
+                clean.append(rows[rows >= low - 1.5 * (high - low)])
+        bar = max(bar, MARGIN * float(np.quantile(np.concatenate(clean), QUANTILE)))
+        out[group[0] :] = bar
+    return out
 
 
 def dense(rows: list[bytes]) -> np.ndarray:
@@ -115,22 +142,19 @@ class Model:
         for at in range(0, len(rows), 500):
             names = np.array([lang for lang, _, _ in rows[at : at + 500]])
             group = dense([raw for _, _, raw in rows[at : at + 500]])
-            bins.append(length_bin(group.sum(1)))
+            bins.append(extent_bin(group))
             near = weighted(group, self.idf) @ self.centroids.T
             own.append(np.where(names[:, None] == np.array(self.langs)[None, :], near, -1).max(1))
-        own, bins = np.concatenate(own), np.concatenate(bins)
-        known = {b: MARGIN * float(np.quantile(own[bins == b], QUANTILE)) for b in set(bins.tolist())}
-        self.bars = np.array([known[min(known, key=lambda b: (abs(b - i), b))] for i in range(32)])
+        self.bars = bars(np.concatenate(own), np.array([lang for lang, _, _ in rows]), np.concatenate(bins))
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        n = counts.sum(1)
         near = weighted(counts, self.idf) @ self.centroids.T
         best = near.argmax(1)
         score = near.max(1).astype(float).clip(0, 1)
-        lettered = n > 0
+        lettered = counts.any(1)
         names = [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
         score = np.where(lettered, score, 0.0)
-        return names, score, ~lettered | (score < self.bars[length_bin(n)])
+        return names, score, ~lettered | (score < self.bars[extent_bin(counts)])
 
 
 def _sample(docs: DataFrame, train: Column) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
+import base64
 import hashlib
 import os
 import re
@@ -263,3 +264,39 @@ def test_pipeline(spark):
     left = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert left == {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").distinct().collect()}
     assert 0 < len(left) < docs.count()
+
+
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+}
+OWN = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+}
+
+
+def test_language_rejects_foreign_and_random_texts(spark):
+    table = spark.read.parquet(f"{os.path.dirname(SMALL)}/sf0.01/documents.parquet")
+    model = language.fit(table, ~language.held_out())
+    rng = np.random.default_rng(4)
+    bad = {f"{k} {n}": " ".join([t] * n) for k, t in FOREIGN.items() for n in (1, 4, 20)}
+    for n in (160, 600, 3000, 30000):
+        bad[f"base64 {n}"] = base64.b64encode(rng.bytes(n)).decode()[:n]
+        bad[f"letters {n}"] = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n))
+    rows = spark.createDataFrame([*bad.items(), *OWN.items()], "name string, text string")
+    assert {r["name"] for r in language.predict(rows, model).collect() if not r["rejected"]} == set(OWN)
+    assert language.predict(table.where(language.held_out()).select("text"), model).where("rejected").count() == 0
+
+
+def test_language_bars_ignore_junk_and_rise():
+    rng = np.random.default_rng(5)
+    bins, langs = np.repeat([5, 7, 8, 9], [400, 400, 400, 3]), np.where(np.arange(1203) % 2, "a", "b")
+    own = np.array([0.4, 0.6, 0.5, 0.1])[(bins > 5).astype(int) + (bins > 7) + (bins > 8)] + rng.normal(0, 0.01, 1203)
+    own[390:410] = 0.05
+    got = language.bars(own, langs, bins)
+    assert (np.diff(got) >= 0).all() and got[5] > 0.37 * language.MARGIN and got[7] > 0.57 * language.MARGIN
