@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -300,3 +301,21 @@ def test_language_bars_ignore_junk_and_rise():
     own[390:410] = 0.05
     got = language.bars(own, langs, bins)
     assert (np.diff(got) >= 0).all() and got[5] > 0.37 * language.MARGIN and got[7] > 0.57 * language.MARGIN
+
+
+def test_licenses_whole_texts_headings_and_tables(spark):
+    gpl = dict(reversed([r for r in licenses.built_in() if len(r[1]) > 30_000]))["GPL-3.0"]
+    apache = next(t for n, t in licenses.built_in() if n == "Apache-2.0" and len(t) > 11_000)
+    commented = "// The MIT License (MIT)\n//\n// Copyright (c) 2020 A. Nother\n//\n" + "\n".join(f"// {x}" for x in textwrap.wrap(licenses.MIT, 60))
+    bsd = "BSD 3-Clause License\n\n# Copyright 2021, The Authors\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(licenses.BSD_HEAD + licenses.BSD_THIRD + licenses.BSD_TAIL, 71))
+    rows = [
+        ("Apache-2.0", apache), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2024 Someone Else")), ("GPL-3.0", gpl), ("GPL-3.0", gpl[: gpl.index("END OF TERMS")]), ("MIT", commented), ("BSD-3-Clause", bsd),
+        ("ISC", "The ISC License\n\nCopyright Jane Doe\n\n" + licenses.ISC), ("Own", "Do as\nyou please."), ("Digest", "second of mine"), (None, apache + " unless it rains"),
+        *[("MIT", "\n".join(textwrap.wrap(licenses.MIT, n))) for n in range(40, 60)],
+    ]
+    mine = spark.createDataFrame([("Own", "do as you PLEASE", None), ("Digest", None, hashlib.sha256(b"second of mine").hexdigest()), ("None", None, None)], "license string, text string, digest string")
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs, mine).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+    line = licenses.scan(spark.createDataFrame([(1, "x = 1\n# SPDX-License-Identifier: GPL-2.0-or-later\n")], "doc_id long, text string")).first()
+    assert (line["license"], line["notices"]) == (None, "GPL-2.0")
