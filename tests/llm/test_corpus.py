@@ -319,3 +319,26 @@ def test_licenses_whole_texts_headings_and_tables(spark):
     assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
     line = licenses.scan(spark.createDataFrame([(1, "x = 1\n# SPDX-License-Identifier: GPL-2.0-or-later\n")], "doc_id long, text string")).first()
     assert (line["license"], line["notices"]) == (None, "GPL-2.0")
+
+
+def test_decontamination_of_many_blocks(spark, docs, monkeypatch):
+    """Many blocks, a long item cut in pieces: the rows of one block, and one scanner at a time in a task."""
+    bench = spark.createDataFrame([(1, BASE), (2, "one"), (3, " ".join(f"w{i}" for i in range(50, 60)) + " tail"), (4, " ".join(f"w{i}" for i in range(12, 30))), (None, "lorem ipsum dolor")], "item_id long, text string")
+    plain = docs.select("doc_id", "text", "score")
+    shown = lambda df: sorted(map(str, df.collect()))
+    want = shown(decontaminate.scan(plain, bench))
+    sizes = [sum(len(w) for _, w in block) for block in decontaminate.blocks(bench, 20)]
+    assert len(sizes) > 3 and max(sizes) <= 20
+    sent, most, live = type(spark.sparkContext).broadcast, [0], set()
+
+    def counted(self, value):
+        out = sent(self, value)
+        live.add(id(out))
+        most[0] = max(most[0], len(live))
+        gone = out.destroy
+        out.destroy = lambda *a: (live.discard(id(out)), gone(*a))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    assert shown(decontaminate.scan(plain, bench, block_words=20)) == want
+    assert most[0] == 1
