@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # the tokenizer's ids are beyond SQL; tests/llm compares with a brute-force version
+ORACLE_SQL = None  # the tokenizer's ids are beyond SQL; test_pipeline_stages_equal_brute_force compares kept ids and pieces
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

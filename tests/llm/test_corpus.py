@@ -342,3 +342,90 @@ def test_decontamination_of_many_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
     assert shown(decontaminate.scan(plain, bench, block_words=20)) == want
     assert most[0] == 1
+
+
+def test_pipeline_stages_equal_brute_force(spark, folder):
+    """Planted copies, near copies, benchmark passages and foreign texts: the ids each stage keeps, and the pieces."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    base = [r.asDict() for r in table.orderBy("doc_id").collect()]
+    long = [r for r in base if len((r["text"] or "").split()) > 120][:12]
+    passage = " ".join(f"quux{i} zorb{i * i}" for i in range(12))
+    rows = list(base)
+
+    def plant(text, lang):
+        rows.append(base[0] | {"doc_id": 10_000_000 + len(rows), "text": text, "lang": lang, "n_chars": len(text)})
+
+    for r in long[:4]:
+        plant(r["text"].replace(" ", "  \n"), r["lang"])
+    for r in long[4:8]:
+        plant(r["text"] + " one more tail", r["lang"])
+    for r in long[8:12]:
+        words = r["text"].split(" ")[::-1]
+        plant(" ".join(words[:60] + [passage] + words[60:]), r["lang"])
+    foreign = []
+    for text in FOREIGN.values():
+        foreign.append(10_000_000 + len(rows))
+        plant(text, None)
+    spark.createDataFrame(rows, table.schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    items = [r.asDict() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    items.append(items[0] | {"item_id": 99_000_000, "text": passage})
+    spark.createDataFrame(items, spark.read.parquet(f"{SMALL}/benchmark.parquet").schema).write.parquet(f"{folder}/benchmark.parquet")
+
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    ids = lambda docs: sorted(r["doc_id"] for r in docs)
+    docs, got = {}, spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got.unpersist()
+        got = stage(spark, got, folder)
+        got.write.parquet(f"{folder}/{name}")
+        got = spark.read.parquet(f"{folder}/{name}")
+        kept.append(got.select("doc_id", "text").collect())
+
+    # language: no own model here; the planted foreign texts go, every labelled row with letters stays
+    assert ids(kept[0]) == sorted(r["doc_id"] for r in rows if r["doc_id"] not in foreign)
+    # exact: least id of each text
+    least: dict = {}
+    for r in kept[0]:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")
+        least[key] = min(r["doc_id"], least.get(key, r["doc_id"]))
+    assert ids(kept[1]) == sorted(least.values()) and len(least) <= len(kept[0]) - 4
+    # near: all pairs of shingle sets, union-find
+    docs = {}
+    for r in kept[1]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(r["text"]))
+        docs[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+    parent = {d: d for d in docs}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in docs:
+        for b in docs:
+            if a < b and docs[a] and 100 * (both := len(docs[a] & docs[b])) >= 80 * (len(docs[a]) + len(docs[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert ids(kept[2]) == sorted(d for d in docs if find(d) == d) and len(kept[2]) <= len(kept[1]) - 4
+    # benchmark: word windows as sets
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = {tuple(w[i : i + 10]) for r in items if (w := split(r["text"])) for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    clean = [r for r in kept[2] if not any(tuple(w[i : i + n]) in windows for w in [split(r["text"])] for n in sizes for i in range(len(w) - n + 1))]
+    assert ids(kept[3]) == ids(clean) and 0 < len(clean) <= len(kept[2]) - 4
+    # packing: the library's tokens, each document's pieces in order, no overlap in a sequence
+    pieces = packing.pack(got.select("doc_id", "text")).collect()
+    digests = sorted(map(str, corpus_pipeline.STAGES[-1][1](spark, got, folder).collect()))
+    assert digests == sorted(map(str, packing.digest(spark.createDataFrame(pieces, packing.pack(got.select("doc_id", "text")).schema)).collect()))
+    for r in kept[3]:
+        own = sorted((p for p in pieces if p["doc_id"] == r["doc_id"]), key=lambda p: p["start"])
+        assert b"".join(p["ids"] for p in own) == ids_of(r["text"], 1).tobytes()
+    for number in {p["sequence_id"] for p in pieces}:
+        end = 0
+        for p in sorted((p for p in pieces if p["sequence_id"] == number), key=lambda p: p["offset"]):
+            assert p["offset"] == end
+            end += p["length"]
+        assert end <= packing.CAPACITY
