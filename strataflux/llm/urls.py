@@ -22,7 +22,7 @@ from strataflux.llm import common, graph
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-CANONICAL = r"(?i)<link\b([^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*)>"
+CANONICAL = r"(?i)<link\b([^<>]*\brel\s*=\s*(?:\"(?:[^\"<>]*\s)?|'(?:[^'<>]*\s)?)?canonical(?=[\s\"'/>])[^<>]*)>"  # any token of rel
 REFRESH = r"(?i)<meta\b([^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*)>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s<>]+)"
 TARGET = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s<>]+)"

@@ -344,6 +344,13 @@ def test_decontamination_of_many_blocks(spark, docs, monkeypatch):
     assert most[0] == 1
 
 
+def test_canonical_is_any_token_of_rel(spark):
+    rels = ['"nofollow canonical"', "'alternate\ncanonical'", '" Canonical nofollow"', "canonical", '"canonical"', '"not-canonical"', '"canonical-like"', '"nofollow" title="canonical"', "nofollow canonical"]
+    rows = [(i, f"http://h{i}.net/", f"<link rel={rel} href='https://example.org/es/{i}'>") for i, rel in enumerate(rels)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in range(len(rels)) if got[i] == "block"] == [0, 1, 2, 3, 4]
+
+
 def test_pipeline_stages_equal_brute_force(spark, folder):
     """Planted copies, near copies, benchmark passages and foreign texts: the ids each stage keeps, and the pieces."""
     import corpus_pipeline
