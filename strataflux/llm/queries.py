@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflux.llm import binary, decontaminate, exact, language, licenses, near, packing, pii, quality, urls
+from strataflux.llm import binary, decontaminate, exact, language, licenses, near, packing, pii, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_anchor_pii": pii.op1_anchor_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": binary.op8_token_files,
     "op9_block_naming_dedup": exact.op9_block_naming_dedup,
     "op10_sketch_near_dedup": near.op10_sketch_near_dedup,
+    "op11_subword_toxicity": toxicity.op11_subword_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
