@@ -45,7 +45,7 @@ LOWER = {i: i + 32 for i in range(0x41, 0x5B)}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+DIGITS = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE_RUN = re.compile(r"\+[0-9][\x20().0-9-]+")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 LINK = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|num\.?|núm\.?|nummer|#)?[\x20\t]*[:=]?[\x20\t]*", re.IGNORECASE)
@@ -122,7 +122,7 @@ class Finder:
             for i in range(0, len(parts) - 3, 4):  # four parts at a time, as the leftmost matches fall
                 four = parts[i : i + 4]
                 end = at + sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
                     add("ip", at, end)
                 at = end + 1
 
