@@ -44,8 +44,10 @@ ANCHORS = {"@": "at", "+": "plus", "://": "scheme", "mailto:": "mail"} | {c: "ac
 LOWER = {i: i + 32 for i in range(0x41, 0x5B)}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-DIGITS = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
+# One-sign repeats only: a repeated group would keep a stack entry for every round.
+FOUR = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+RUN = re.compile(r"[0-9][0-9\x20-]*")
+GAP = re.compile(r"[\x20-]{2,}")
 PHONE_RUN = re.compile(r"\+[0-9][\x20().0-9-]+")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 LINK = re.compile(r"[\x20\t]*(?:no\.?|number|nr\.?|num\.?|núm\.?|nummer|#)?[\x20\t]*[:=]?[\x20\t]*", re.IGNORECASE)
@@ -108,23 +110,26 @@ class Finder:
     def digits(self, text, add) -> None:
         if not any(map(text.__contains__, "0123456789")):
             return
-        for m in DIGITS.finditer(text):
-            if m.end() - m.start() >= 16:
-                digits = m.group().replace(" ", "").replace("-", "")
-                if 16 <= len(digits) <= 19 and luhn(digits):
-                    add("card", *m.span())
+        for run in RUN.finditer(text):
+            if run.end() - run.start() < 16:
+                continue
+            begin = run.start()
+            for gap in GAP.finditer(text, *run.span()):
+                self.card(text, begin, gap.start(), add)
+                begin = gap.end()
+            self.card(text, begin, run.end(), add)
         if "." not in text:
             return
-        for m in CHAIN.finditer(text):
-            if m.group().count(".") < 3:
-                continue
-            parts, at = m.group().split("."), m.start()
-            for i in range(0, len(parts) - 3, 4):  # four parts at a time, as the leftmost matches fall
-                four = parts[i : i + 4]
-                end = at + sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
-                    add("ip", at, end)
-                at = end + 1
+        for m in FOUR.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.groups()):
+                add("ip", *m.span())
+
+    def card(self, text, begin, end, add) -> None:
+        """Digits with single separators between them; a separator may follow the last one."""
+        if 16 <= end - begin <= 38:
+            digits = text[begin:end].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                add("card", begin, end - (text[end - 1] in " -"))
 
     def at(self, text, begin, end, add, last) -> None:
         start = begin
