@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflux.llm import binary, decontaminate, exact, language, licenses, near, packing, pii, quality, toxicity, urls
+from strataflux.llm import binary, conversations, decontaminate, exact, language, licenses, near, packing, pii, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_anchor_pii": pii.op1_anchor_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_block_naming_dedup": exact.op9_block_naming_dedup,
     "op10_sketch_near_dedup": near.op10_sketch_near_dedup,
     "op11_subword_toxicity": toxicity.op11_subword_toxicity,
+    "op13_bigint_conversation_repair": conversations.op13_bigint_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {}
