@@ -133,6 +133,84 @@ select p.page_id, p.host, p.path, f.fit.rule as rule,
 from named p left join fitting f using (page_id) left join fate t using (address)
 """
 
+ORACLES["op13_bigint_conversation_repair"] = r"""
+with recursive crc(t) as (
+    select list(list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) order by i) from range(256) as r(i)),
+keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+marked as (
+    select conv_id, turn, role, text, xor(list_reduce(
+        [4294967295] || list_transform(string_split(key, ''), lambda c: cast(ascii(c) as bigint)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 as kind
+    from keyed, crc),
+damaged as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+           case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+    from marked, unnest(range(case when kind = 3 then 2 else 1 end)) where kind <> 0),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as i,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') as body from damaged),
+faults as (
+    select *, case when body = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+                   when right(body, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+           role[1:1] as c, lag(role[1:1]) over (partition by conv_id order by i) as p from placed),
+counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+           count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+           count(*) filter (i > 1 and p || c not in ('su', 'ua', 'au')) as illegal, max(i) as last from faults group by conv_id),
+step(conv_id, i, v0, v1, v2, v3) as (
+    select conv_id, cast(0 as bigint), {'c': 0, 'a': ''}, cast(null as struct(c integer, a varchar)), cast(null as struct(c integer, a varchar)), cast(null as struct(c integer, a varchar)) from counts
+    union all
+    select s.conv_id, f.i,
+        struct_pack(c := v0.c + 3, a := v0.a || 'D'),
+        list_sort(list_filter([
+            case when v1.c is not null then struct_pack(c := v1.c + 3, a := v1.a || 'D') end,
+            case when k and f.c = 's' then struct_pack(c := v0.c + e, a := v0.a || 'K') end], lambda x: x is not null))[1],
+        list_sort(list_filter([
+            case when v2.c is not null then struct_pack(c := v2.c + 3, a := v2.a || 'D') end,
+            case when k and f.c = 'u' then struct_pack(c := v0.c + e, a := v0.a || 'K') end,
+            case when k and f.c = 'u' and v1.c is not null then struct_pack(c := v1.c + e, a := v1.a || 'K') end,
+            case when k and f.c = 'u' and v3.c is not null then struct_pack(c := v3.c + e, a := v3.a || 'K') end,
+            case when k and f.c = 'u' and v2.c is not null then struct_pack(c := v2.c + 2 + e, a := v2.a || 'IK') end,
+            case when k then struct_pack(c := v0.c + 2 + e, a := v0.a || 'R') end,
+            case when k and v1.c is not null then struct_pack(c := v1.c + 2 + e, a := v1.a || 'R') end,
+            case when k and v3.c is not null then struct_pack(c := v3.c + 2 + e, a := v3.a || 'R') end,
+            case when k and v2.c is not null then struct_pack(c := v2.c + 4 + e, a := v2.a || 'IR') end], lambda x: x is not null))[1],
+        list_sort(list_filter([
+            case when v3.c is not null then struct_pack(c := v3.c + 3, a := v3.a || 'D') end,
+            case when k and f.c = 'a' and v2.c is not null then struct_pack(c := v2.c + e, a := v2.a || 'K') end,
+            case when k and v2.c is not null then struct_pack(c := v2.c + 2 + e, a := v2.a || 'R') end,
+            case when k and f.c = 'a' then struct_pack(c := v0.c + 2 + e, a := v0.a || 'IK') end,
+            case when k and f.c = 'a' and v1.c is not null then struct_pack(c := v1.c + 2 + e, a := v1.a || 'IK') end,
+            case when k and f.c = 'a' and v3.c is not null then struct_pack(c := v3.c + 2 + e, a := v3.a || 'IK') end,
+            case when k then struct_pack(c := v0.c + 4 + e, a := v0.a || 'IR') end,
+            case when k and v1.c is not null then struct_pack(c := v1.c + 4 + e, a := v1.a || 'IR') end,
+            case when k and v3.c is not null then struct_pack(c := v3.c + 4 + e, a := v3.a || 'IR') end], lambda x: x is not null))[1]
+    from step s join (select *, fault not in ('b', 'd') as k, case when fault = 't' then 1 else 0 end as e from faults) f
+        on f.conv_id is not distinct from s.conv_id and f.i = s.i + 1),
+chosen as (
+    select s.conv_id, list_sort(list_filter([v0,
+            case when v1.c is not null then struct_pack(c := v1.c + 4, a := v1.a || 'II') end,
+            case when v2.c is not null then struct_pack(c := v2.c + 2, a := v2.a || 'I') end, v3], lambda x: x is not null and x.c is not null))[1] as best
+    from step s join counts c on c.conv_id is not distinct from s.conv_id and c.last = s.i),
+letters as (
+    select conv_id, p, best.a[p : p] as l, count(*) filter (l <> 'I') over (partition by conv_id order by p) as i
+    from chosen, unnest(range(1, len(best.a) + 1)) as r(p)),
+made as (
+    select l.conv_id, l.p, l.l, l.i, f.role, f.text,
+           count(*) filter (l.l <> 'D' and not (l.l = 'K' and f.c = 's')) over (partition by l.conv_id order by l.p) as turns
+    from letters l left join faults f on f.conv_id is not distinct from l.conv_id and f.i = l.i),
+lines as (
+    select conv_id, string_agg(case when l = 'K' then role when turns % 2 = 1 then 'user' else 'assistant' end || ':' || case when l = 'I' then '' else text end, chr(10) order by p) as body
+    from made where l <> 'D' group by conv_id)
+select o.conv_id, coalesce(c.gaps, 0) as gaps, coalesce(c.blank, 0) as blank, coalesce(c.duplicate, 0) as duplicate, coalesce(c.truncated, 0) as truncated,
+       coalesce(c.illegal, 0) as illegal, cast(coalesce(h.best.c, 0) as bigint) as cost, coalesce(h.best.a, '') as audit, sha256(coalesce(b.body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join chosen h on h.conv_id is not distinct from o.conv_id
+left join lines b on b.conv_id is not distinct from o.conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
