@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflux.llm import binary, conversations, decontaminate, exact, language, licenses, near, packing, pii, quality, toxicity, urls
+from strataflux.llm import binary, conversations, decontaminate, exact, language, licenses, near, packing, phrases, pii, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_anchor_pii": pii.op1_anchor_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_block_naming_dedup": exact.op9_block_naming_dedup,
     "op10_sketch_near_dedup": near.op10_sketch_near_dedup,
     "op11_subword_toxicity": toxicity.op11_subword_toxicity,
+    "op12_son_collocations": phrases.op12_son_collocations,
     "op13_bigint_conversation_repair": conversations.op13_bigint_conversation_repair,
 }
 
@@ -211,6 +212,34 @@ left join chosen h on h.conv_id is not distinct from o.conv_id
 left join lines b on b.conv_id is not distinct from o.conv_id
 """
 
+ORACLES["op12_son_collocations"] = r"""
+with docs as (
+    select coalesce(lang, 'und') as lang, row_number() over () as d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+    from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from docs)),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+f as (
+    select lang, k as size, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as a
+    from pieces, unnest([1, 2, 3, 4, 5]) as s(k), unnest(range(1, len(w) - k + 2)) as r(i)
+    group by all having count(*) >= 100),
+cuts as (
+    select f.lang, f.phrase, f.a, k, l.a as l, r.a as r, t.n, cast(1000 * f.a::hugeint * t.n::hugeint // (l.a::hugeint * r.a::hugeint) as bigint) as score
+    from (select *, string_split(phrase, ' ') as w from f where size >= 2) f, unnest(range(1, size)) as c(k)
+    join f l on l.lang = f.lang and l.phrase = array_to_string(w[1 : k], ' ')
+    join f r on r.lang = f.lang and r.phrase = array_to_string(w[k + 1 :], ' ')
+    join totals t on t.lang = f.lang),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+    select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as around
+    from (select *, string_split(phrase, ' ') as w from f where size >= 3), unnest(range(2, size)) as p(m), unnest(range(1, size - m + 2)) as q(i)
+    group by all)
+select b.lang, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, b.l, b.r, b.n, b.score
+from best b left join inner_parts p using (lang, phrase)
+where p.around is null or 100 * p.around < 100 * b.a
+qualify rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
