@@ -10,9 +10,10 @@ proportion to its share of the language's words: a phrase that is frequent in th
 whole must reach its proportional support in some shard. The number of shards is
 fixed, so the lowered support does not sink as the corpus grows; a shard spans many
 tasks, and its counts are summed by a shuffle of partial sums. At each level only
-phrases whose two longest parts are locally frequent are counted. The union of the
-locally frequent phrases of a level is one bit set of BITS bits over their hashes:
-its size is fixed, and a clash only lets a needless candidate through.
+phrases whose parts are candidates are counted. The union of the locally frequent
+phrases, less those whose counts in all shards add up to less than the support, is
+one bit set of BITS bits over their hashes for a level: its size is fixed, and a
+clash only lets a needless candidate through.
 
 Phase 2 counts every candidate of the union over the whole corpus, by its text and
 exactly, and drops what is below the support.
@@ -36,9 +37,11 @@ from strataflux.llm import common
 from strataflux.llm.words import Hashes, folded, mixed
 
 SIZE, SUPPORT, TOP, COVER = 5, 100, 2_000, 100
+LEVELS = ((2,), (3,), (4, 5))  # sizes counted in one reading; few phrases are left at the last
 SHARDS = 8
 BITS = 1 << 26
-HELD = 1_000_000
+HELD = 2_000_000
+CACHE_WORDS = 200_000
 SEGMENT = 1 << 20  # bytes of a text looked at at once
 SLOTS = 64  # the best of a language are the best of its slots' best
 NO_LANG = "und"
@@ -64,18 +67,18 @@ def segments(text: bytes | None) -> Iterator[list[bytes]]:
                 ends = [i for i in (text.find(s, stop) for s in (b" ", b"\n", b".")) if i >= 0]
                 found = min(ends, default=len(text) - 1)
             stop = found + 1
-        yield text[at:stop].translate(PIECES).replace(END, b" \xff ").split(b" ")
+        yield text[at:stop].translate(PIECES).replace(END, b" \xff ").split()  # of white space only the space is left
         at = stop
 
 
 def runs(texts: list[bytes | None], lead: int) -> Iterator[tuple[list[bytes], int]]:
-    """Word lists of about SEGMENT bytes from several texts, END before each text; a list begins with the last `lead` words of the one before, and tells how many."""
+    """Word lists of about SEGMENT / 6 words from several texts, END before each text; a list begins with the last `lead` words of the one before, and tells how many."""
     held, size, kept = [], 0, 0
     for text in texts:
         held.append(END)
         for words in segments(text):
-            held += filter(None, words)
-            size += sum(map(len, words))
+            held += words
+            size += 6 * len(words)
             if size > SEGMENT:
                 yield held, kept
                 held, size = held[max(0, len(held) - lead) :], 0
@@ -160,7 +163,7 @@ def words(docs: DataFrame) -> DataFrame:
     def make():
         from collections import Counter
 
-        hashes, held = Hashes(), {}
+        hashes, held = Hashes(CACHE_WORDS), {}
 
         def flush():
             for (lang, shard), counts in held.items():
@@ -181,7 +184,7 @@ def words(docs: DataFrame) -> DataFrame:
             for run, _ in runs(texts, 0):
                 counts.update(run)
             del counts[END]
-            if sum(map(len, held.values())) > HELD // 4:
+            if sum(map(len, held.values())) > HELD // 8:
                 yield from flush()
 
         return fn
@@ -190,11 +193,12 @@ def words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "shard", "word", "key").agg(F.sum("n").alias("n")).withColumn("word", F.col("word").cast("string"))
 
 
-def level(docs: DataFrame, size: int, bits) -> DataFrame:
-    """lang, shard, key, n: phrases of `size` words whose two parts of one word less are in `bits`."""
+def level(docs: DataFrame, sizes: tuple[int, ...], bits) -> DataFrame:
+    """lang, shard, key, n of the phrases of `sizes` words whose parts of min(sizes) - 1 words are all in `bits`; a task's sums."""
+    least = min(sizes) - 1
 
     def make():
-        hashes, held, frequent = Hashes(), {}, np.frombuffer(bits.value, np.uint8)
+        hashes, held, known = Hashes(CACHE_WORDS), {}, np.frombuffer(bits.value, np.uint8)
 
         def flush():
             for (lang, shard), sums in held.items():
@@ -209,14 +213,18 @@ def level(docs: DataFrame, size: int, bits) -> DataFrame:
                 yield from flush()
                 return
             sums = held.setdefault((lang, shard), Sums())
-            for run, _ in runs(texts, size - 1):  # no phrase lies in the lead alone
+            for run, lead in runs(texts, max(sizes) - 1):
                 rolling = Rolling(run, _seed(lang, hashes), hashes)
-                before, inside = rolling.upto(size - 1)
-                member = inside & has(frequent, before)
-                keys, whole = rolling.upto(size)
-                keys = keys[whole & member[:-1] & member[1:]]
-                if len(keys):
-                    sums.add(*np.unique(keys, return_counts=True))
+                parts, inside = rolling.upto(least)
+                member = inside & has(known, parts)
+                for size in range(least + 1, max(sizes) + 1):
+                    member = member[:-1] & member[1:]  # all parts of a phrase of `size` words
+                    if size in sizes:
+                        keys, inside = rolling.upto(size)
+                        new = max(0, lead - size + 1)  # a phrase that lies in the lead was counted before
+                        keys = keys[new:][(inside & member)[new:]]
+                        if len(keys):
+                            sums.add(*np.unique(keys, return_counts=True))
             if sum(s.size for s in held.values()) > HELD:
                 for s in held.values():
                     if s.parts:
@@ -226,14 +234,14 @@ def level(docs: DataFrame, size: int, bits) -> DataFrame:
 
         return fn
 
-    return _counted(docs, make, "key long, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
+    return _counted(docs, make, "key long, n long")
 
 
 def candidates(docs: DataFrame, bits: dict) -> DataFrame:
     """lang, phrase, size, a: all occurrences of the phrases of 2 words or more whose hash is in `bits[size]`, by their text."""
 
     def make():
-        hashes, held, frequent = Hashes(), {}, {k: np.frombuffer(b.value, np.uint8) for k, b in bits.items()}
+        hashes, held, frequent = Hashes(CACHE_WORDS), {}, {k: np.frombuffer(b.value, np.uint8) for k, b in bits.items()}
 
         def flush():
             for (lang, shard), counts in held.items():
@@ -266,7 +274,7 @@ def candidates(docs: DataFrame, bits: dict) -> DataFrame:
                         if n:
                             phrase = b" ".join(run[p : p + size])
                             counts[phrase] = counts.get(phrase, 0) + n
-            if sum(map(len, held.values())) > HELD // 4:
+            if sum(map(len, held.values())) > HELD // 8:
                 yield from flush()
 
         return fn
@@ -294,14 +302,17 @@ def frequent(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFr
     local = common.stored(share.select("lang", "shard", F.expr(f"({support} * part + n - 1) div n").alias("least")), "phrase-supports")
 
     def union(counts: DataFrame) -> bytes:
-        return bitset(counts.join(local, ["lang", "shard"]).where("n >= least").select("key"))
+        """Keys that are frequent in a shard and, as all shards counted them, in the whole."""
+        dealt = counts.repartition("lang", "key")  # both sums below reuse this partitioning
+        summed = dealt.groupBy("lang", "shard", "key").agg(F.sum("n").alias("n")).join(F.broadcast(local), ["lang", "shard"])  # languages x SHARDS rows
+        return bitset(summed.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max(F.col("n") >= F.col("least")).alias("mined")).where(F.col("mined") & (F.col("n") >= support)))
 
     bits, last = {}, union(every)
-    for size in range(2, SIZE + 1):
-        last = union(level(docs, size, context.broadcast(last)))
+    for sizes in LEVELS:
+        last = union(level(docs, sizes, context.broadcast(last)))
         if not any(last):
             break
-        bits[size] = context.broadcast(last)
+        bits |= dict.fromkeys(sizes, context.broadcast(last))
     singles = every.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("a"))
     found = singles.unionByName(candidates(docs, bits)) if bits else singles
     sized = found.where(F.col("a") >= support).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a")
