@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from strataflux.llm import common
 from strataflux.llm.words import folded
 
-SAMPLE_ROWS, SAMPLE_WINDOWS = 6_000, 384
+SAMPLE_ROWS, SAMPLE_WINDOWS = 5_000, 384
 BUCKETS, DIMS = 1 << 16, 8
 SIZES = (3, 4, 5)
 WINDOW, TOP = 4, 4
-EPOCHS, DRAWS, BATCH, RATE, DECAY = 20, 3, 256, 0.02, 1e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 20, 260, 256, 0.02, 1e-5  # small samples get more epochs, to make STEPS steps
 POSITIVE = 5.0  # weight of a toxic document in the loss: missing one costs more than a false alarm
 THRESHOLD = 0.5
 CACHE_WORDS = 150_000
@@ -122,14 +122,20 @@ def train(texts: list[list[bytes]], labels: np.ndarray) -> Model | None:
         return None
     rng = np.random.default_rng(11)
     vocabulary: dict[bytes, int] = {}
-    number, lengths = array("q"), []
+    number, lengths = array("i"), []
     for passage in chain.from_iterable(texts):
         words = passage.split()
         lengths.append(len(words))
         number.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
-    flat, lengths = np.frombuffer(number, np.int64), np.array(lengths)
-    owners, buckets = subwords(list(vocabulary))
-    counts = np.bincount(owners, minlength=len(vocabulary))
+    flat, lengths = np.frombuffer(number, np.int32), np.array(lengths)
+    buckets, counts = array("H"), []
+    names = list(vocabulary)
+    for at in range(0, len(names), 5_000):
+        owners, found = subwords(names[at : at + 5_000])
+        buckets.extend(array("H", found.astype(np.uint16).tobytes()))
+        counts.append(np.bincount(owners, minlength=len(names[at : at + 5_000])))
+    del vocabulary, names
+    buckets, counts = np.frombuffer(buckets, np.uint16), np.concatenate(counts) if counts else np.zeros(0, np.int64)
     edges = np.cumsum(counts) - counts  # where a word's subwords begin
     begins = np.cumsum(lengths) - lengths
     per_doc = np.array([len(doc) for doc in texts])
@@ -140,12 +146,12 @@ def train(texts: list[list[bytes]], labels: np.ndarray) -> Model | None:
     rate = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     b = np.array([np.log(1 - rate), np.log(rate)], np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
-    step = 0
-    for epoch in range(EPOCHS):
-        if epoch < DRAWS:
+    epochs, step = max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH))), 0
+    for epoch in range(epochs):
+        if epoch < epochs * 3 // 20:
             odds = rng.random(len(lengths))
         else:
-            gains = np.bincount(owners, (e @ (w[:, 1] - w[:, 0]))[buckets], len(vocabulary)) / counts
+            gains = np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[buckets], edges) / counts if len(edges) else np.zeros(0)
             odds = np.diff(np.concatenate([[0.0], np.cumsum(gains[flat])])[np.append(begins, len(flat))])
         doc = np.repeat(np.arange(len(texts)), per_doc)
         ranked = np.lexsort((np.arange(len(odds)), -odds, doc))
