@@ -63,6 +63,15 @@ def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
     return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme that Spark itself gives a path without one; local paths stay plain."""
+    if "://" in folder:
+        return folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.removeprefix("file:") if whole.startswith("file:") else whole
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
@@ -143,7 +152,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, voca
     (with the end id), position (its number in the shard).
     """
     spark = docs.sparkSession
-    folder = scratch_path(spark, "token-shards")
+    folder = qualified(spark, scratch_path(spark, "token-shards"))
     bits = width(max(vocabulary, end_id + 1))
     end = np.asarray([end_id], "<u4").tobytes()
 
