@@ -42,6 +42,17 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
+def released() -> None:
+    """Drop the token encoder that an earlier operator left in this reused worker."""
+    import sys
+
+    vocabulary = sys.modules.get("public_tokenizers")
+    if vocabulary is not None and vocabulary.__dict__.pop("encoders", None):
+        import gc
+
+        gc.collect()
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]], out: str, text: str = "text") -> DataFrame:
     """Replace column `text` by the columns of the DDL string `out`; all other columns pass through.
 
@@ -55,6 +66,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  slices() needs it
 
+        released()
         fn = make()
         for batch in batches:
             for part in slices(batch, text):
@@ -67,9 +79,24 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]
     return source.mapInArrow(run, f"{fields}, {out}" if fields else out)
 
 
-def carried(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A whole row as one struct `row` beside its text, so that no name of an extra column can clash."""
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+def filtered(docs: DataFrame, make: Callable[[], Callable[[list], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `fn` keeps; a text goes to Python once and comes back only where it stays.
+
+    `make()` runs once per task and returns `fn`, from a list of texts (UTF-8
+    bytes, None for null) to whether each row stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401  slices() needs it
+
+        released()
+        fn = make()
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = part.column(part.schema.get_field_index(text)).cast(pa.binary())
+                yield part.filter(pa.array(fn(texts.to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def text_keys(text: str = "text") -> list[F.Column]:

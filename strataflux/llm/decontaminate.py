@@ -29,7 +29,7 @@ from strataflux.llm import common
 from strataflux.llm.words import ALPHANUMERIC
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 60_000  # an automaton over 200,000 words took 149 MB; every Python worker builds one of a block
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FIELDS = ("first_word", "last_word", "start", "end")
 SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in FIELDS]))
@@ -190,6 +190,23 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(scan(docs.select("doc_id", "text"), benchmark))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no benchmark window."""
-    return scan(common.carried(docs), benchmark).where(F.size("spans") == 0).select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs`, all columns, whose text holds no benchmark window; one pass for each block of the benchmark."""
+    context = docs.sparkSession.sparkContext
+    parts = blocks(benchmark, block_words, window)
+    block = next(parts)
+    while True:
+        sent, later = context.broadcast(block), next(parts, None)
+        left = common.filtered(docs, _without(sent, window))
+        if later is None:
+            return left
+        docs, block = common.stored(left, "decontaminate-left"), later
+        sent.destroy()
+
+
+def _without(sent: Broadcast, window: int):
+    def make():
+        scanner = Scanner(sent.value, window)
+        return lambda texts: [not scanner.find(split(text))[1] for text in texts]
+
+    return make

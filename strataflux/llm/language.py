@@ -190,18 +190,15 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     return Model(rows) if any(whole for _, whole, _ in rows) else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of `docs`, its text replaced by lang_pred, score (cosine, 0 to 1) and rejected.
-
-    A null text, or one without a letter, is "und", score 0, rejected. Without a
-    model every text is.
-    """
+def _judges(docs: DataFrame, model: Model | None):
+    """A maker of functions from texts (UTF-8 bytes) to lists of languages, scores and rejections."""
     sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # classes travel by value; DIMS floats for each of at most CENTROIDS * languages centroids
 
     def make():
-        grams, learned = Grams(), pickle.loads(sent.value)
+        learned = pickle.loads(sent.value)
+        grams = Grams() if learned else None
 
-        def fn(texts: list) -> list:
+        def judge(texts: list) -> tuple[list, list, list]:
             names, scores, out = [], [], []
             for at in range(0, len(texts), 200):
                 group = [(t or b"").decode("utf-8") for t in texts[at : at + 200]]
@@ -212,11 +209,33 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 names += found[0]
                 scores += found[1].tolist()
                 out += found[2].tolist()
+            return names, scores, out
+
+        return judge
+
+    return make
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Every row of `docs`, its text replaced by lang_pred, score (cosine, 0 to 1) and rejected.
+
+    A null text, or one without a letter, is "und", score 0, rejected. Of equal
+    cosines the first centroid counts, languages in the order of their names.
+    Without a model every text is rejected. Columns of `docs` with these names
+    give way.
+    """
+    judges = _judges(docs, model)
+
+    def make():
+        judge = judges()
+
+        def fn(texts: list) -> list:
+            names, scores, out = judge(texts)
             return [("lang_pred", pa.array(names, pa.string())), ("score", pa.array(scores, pa.float64())), ("rejected", pa.array(out, pa.bool_()))]
 
         return fn
 
-    return common.map_texts(docs, make, "lang_pred string, score double, rejected boolean")
+    return common.map_texts(docs.drop("lang_pred", "score", "rejected"), make, "lang_pred string, score double, rejected boolean")
 
 
 def held_out() -> Column:
@@ -232,4 +251,10 @@ def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text is near a language learned from their own labels."""
     model = fit(docs, ~held_out() & F.col("doc_id").isNotNull())
-    return predict(common.carried(docs), model).where(~F.col("rejected")).select("row.*")
+    judges = _judges(docs, model)
+
+    def make():
+        judge = judges()
+        return lambda texts: [not out for out in judge(texts)[2]]
+
+    return common.filtered(docs, make)

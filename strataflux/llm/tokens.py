@@ -15,7 +15,8 @@ import re
 
 VOCABULARY = "word_bpe_49k.json"
 VOCABULARY_SIZE = 49_408
-CACHE_WORDS = 300_000  # words of a cache generation; two are held, so memory is bounded whatever the corpus
+CACHE_BYTES = 20 << 20  # of a cache generation; two caches hold two each, so memory is bounded whatever the corpus
+ENTRY_BYTES = 160  # of the objects around a word and its ids
 
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -37,20 +38,25 @@ class Cache(dict):
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old, self.unknown = limit, {}, set()
+        self.limit, self.old, self.unknown, self.size = limit, {}, set(), 0
+
+    def learn(self, word: bytes, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids) + ENTRY_BYTES
 
     def __missing__(self, word: bytes) -> bytes | None:
         value = self.old.get(word)
         if value is None:
             self.unknown.add(word)
         else:
-            self[word] = value
+            self.learn(word, value)
         return value
 
     def turn(self) -> None:
-        if len(self) >= self.limit:
+        if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
 
 class Encoder:
@@ -73,7 +79,7 @@ class Encoder:
         # Pieces are already normalised and cut: the same model without those steps.
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words, self.pieces = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+        self.words, self.pieces = Cache(CACHE_BYTES), Cache(CACHE_BYTES)
         self.ends = self._ends()
 
     def _ends(self):
@@ -107,15 +113,15 @@ class Encoder:
             if len(stops) == len(group):
                 raw, begin = ids.tobytes(), 0
                 for p, stop in zip(group, (4 * stops).tolist()):
-                    pieces[p] = raw[begin:stop]
+                    pieces.learn(p, raw[begin:stop])
                     begin = stop
             else:
                 for p in group:
-                    pieces[p] = self._library(p.decode("latin-1"))
+                    pieces.learn(p, self._library(p.decode("latin-1")))
         for w, values in known.items():
             if None in values:
                 values = map(pieces.__getitem__, cut[w])
-            words[w] = b"".join(values)
+            words.learn(w, b"".join(values))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         import gc
@@ -155,7 +161,7 @@ class Encoder:
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """This worker's encoder. It hangs on the vocabulary module, so a reused worker keeps its cache from task to task."""
+    """This worker's encoder. It hangs on the vocabulary module, so a reused worker keeps its cache from task to task of one operator; `common.released` drops it."""
     import public_tokenizers
 
     kept = public_tokenizers.__dict__.setdefault("encoders", {})

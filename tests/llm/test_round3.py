@@ -299,3 +299,72 @@ def test_sql_on_damaged_rows(spark, folder):
     table.repartition(3).write.parquet(f"{folder}/conversations.parquet")
     name = "op13_bigint_conversation_repair"
     assert compare(spark, con, name, queries.QUERIES[name], queries.ORACLES[name], folder) is None
+
+
+# --- earlier operators ---------------------------------------------------------------
+
+
+def test_pii_digits_of_any_length(spark, folder):
+    """The columns of the query against the patterns themselves, on runs that once broke the parser."""
+    from strataflux.llm import pii
+
+    r = random.Random(4)
+    parts = ["4111 1111-1111 1111", "0" * 5000 + ".0.0.1", "255.1.02.3.4.5.6.7", "+49 (30) 123456", "a.b@c-d.org", ".", " ", "-", "x", "300.1.1.1", "1" * 3000, "é"]
+    texts = [None, "", "0" * 5000 + ".0.0.1", "1 " * 100_000, *["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(60)]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    size = lambda m: sum(c.isdigit() for c in m.group())
+    for row in queries.QUERIES["op1_anchor_pii"](spark, folder).collect():
+        text = texts[row.doc_id] or ""
+        spans = [(0, *m.span()) for m in email.finditer(text)]
+        spans += [(1, *m.span()) for m in ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        spans += [(2, *m.span()) for m in card.finditer(text) if 16 <= size(m) <= 19 and pii.luhn(re.sub("[^0-9]", "", m.group()))]
+        spans += [(3, *m.span()) for m in phone.finditer(text) if 8 <= size(m) <= 15]
+        named = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
+        assert row.base_sha256 == hashlib.sha256(named.encode()).hexdigest(), text[:80]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)]
+
+
+def test_clean_in_several_passes(spark):
+    from strataflux.llm import decontaminate
+
+    items = [(f"i{k}", " ".join(f"q{k}w{j}" for j in range(30))) for k in range(9)]
+    docs = [(k, f"lead {items[k][1][20:150]} tail") for k in range(9)] + [(20 + k, f"clean text {k}") for k in range(9)] + [(30, None), (31, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").select("*", F.lit(1).alias("spans"), F.lit("x").alias("items")).repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for words in (10_000, 40):
+        left = decontaminate.clean(table, bench, block_words=words)
+        assert left.columns == table.columns
+        assert sorted(r.doc_id for r in left.collect()) == [*range(20, 29), 30, 31]
+
+
+def test_encoder_is_dropped_and_bounded():
+    import public_tokenizers
+
+    from strataflux.llm import common, tokens
+
+    small = tokens.Encoder()
+    small.words.limit = small.pieces.limit = 2_000
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(50)).encode() for _ in range(60)]
+    for t in texts:
+        assert small.encode([t])[0] == np.asarray(small.whole.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(small.words) + len(small.words.old) < 200
+    tokens.encoder()
+    common.released()
+    assert "encoders" not in public_tokenizers.__dict__
+
+
+def test_shard_folder_without_scheme(spark, folder):
+    from strataflux.llm import binary
+
+    assert binary.qualified(spark, folder) == folder
+    assert binary.qualified(spark, "viewfs://there/x") == "viewfs://there/x"
+    kept = spark.sparkContext._jsc.hadoopConfiguration()
+    before = kept.get("fs.defaultFS")
+    try:
+        kept.set("fs.defaultFS", "file:///")
+        assert "://" not in binary.qualified(spark, "/a/b")
+    finally:
+        kept.set("fs.defaultFS", before) if before else kept.unset("fs.defaultFS")
