@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflux.session import scratch_path
 
-SLICE_BYTES = 4 << 20  # texts a function sees at once: memory per task follows this and the longest text
+SLICE_BYTES = 2 << 20  # texts a function sees at once: memory per task follows this and the longest text
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

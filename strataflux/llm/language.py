@@ -13,8 +13,8 @@ of them are binned by extent, bins with few rows merged; a bin's bar is MARGIN
 times a low quantile of their similarity to their own language, without the low
 outliers of each language, and no bar is lower than that of a smaller extent.
 
-The fit uses at most SAMPLE_ROWS labelled rows, spread over the languages and
-chosen by a hash of doc_id; prediction covers every text whole.
+The fit uses about SAMPLE_ROWS labelled rows, spread over the languages and
+chosen by a hash of doc_id, equal rows once; prediction covers every text whole.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strataflux.llm import common
 
 DIMS = 4096
 CENTROIDS = 4
-SAMPLE_ROWS, PER_LANGUAGE = 8_000, 400
+SAMPLE_ROWS, PER_LANGUAGE = 8_000, 800
+SLOTS = 1 << 30
 SNIPPETS = (3, 6, 12, 48, 200)  # code points
 MARGIN, QUANTILE = 0.42, 0.01
 BIN_ROWS = 100
@@ -158,14 +158,13 @@ class Model:
 
 
 def _sample(docs: DataFrame, train: Column) -> DataFrame:
-    """At most SAMPLE_ROWS rows (lang, text, h), as many for each language at most. Ids are ranked first, texts read once."""
+    """About as many rows (lang, text) for each language, SAMPLE_ROWS in all: a share of its ids by hash, so no task sees all of a language."""
     rows = docs.select("lang", "text", F.xxhash64("doc_id").alias("h")).where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_langs = rows.select("lang").distinct().count()
-    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // max(1, n_langs)))
-    order = Window.partitionBy("lang").orderBy("h")
-    last = rows.select("lang", "h").withColumn("i", F.row_number().over(order)).where(F.col("i") <= each).groupBy("lang").agg(F.max("h").alias("bar"))
-    picked = rows.join(F.broadcast(last), "lang").where("h <= bar")  # one row per language, fewer than SAMPLE_ROWS
-    return picked.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("i") <= each).select("lang", "text")
+    sizes = common.stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    each = max(1, min(PER_LANGUAGE, SAMPLE_ROWS // max(1, sizes.count())))
+    share = F.pmod("h", F.lit(SLOTS)) / F.lit(float(SLOTS))
+    picked = rows.join(F.broadcast(sizes), "lang").where(share < F.lit(float(each)) / F.col("size"))  # one row per language
+    return picked.withColumn("t", F.xxhash64("text")).dropDuplicates(["lang", "h", "t"]).select("lang", "text")
 
 
 def fit(docs: DataFrame, train: Column) -> Model | None:

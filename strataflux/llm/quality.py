@@ -5,7 +5,7 @@ on a labelled sample; every path from a root is a conjunctive rule over the
 statistics. A lasso logistic regression gives most rules weight zero. The rest
 is compiled into one Spark column expression, so scoring is plain SQL.
 
-The fit uses at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id; their
+The fit uses about SAMPLE_ROWS labelled rows, chosen by a hash of doc_id; their
 statistics, a few numbers each, go to the driver. Scoring covers every text whole.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from strataflux.llm import common
 
 SAMPLE_ROWS = 20_000
+SLOTS = 1 << 30
 TREES, DEPTH, BINS, SHRINK = 40, 3, 32, 0.15
 PENALTY, ROUNDS = 0.0015, 300
 THRESHOLD = 0.3
@@ -194,10 +195,17 @@ class Ensemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Ensemble:
-    """Learn labels.quality (0 or 1) from the labelled rows that `train`, a condition on doc_id, picks."""
-    picked = labels.where(train & F.col("quality").isin(0, 1)).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "quality").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "h", "text")
-    got = with_statistics(rows).orderBy("h", *STATS).limit(SAMPLE_ROWS).collect()
+    """Learn labels.quality (0 or 1) from the labelled rows that `train`, a condition on doc_id, picks.
+
+    A doc_id with several labels counts with the highest, equal texts of one
+    doc_id count once. Of equal gains the first statistic and the least cut count.
+    """
+    known = labels.where(train & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
+    total = known.count()
+    share = F.pmod("h", F.lit(SLOTS)) / F.lit(float(SLOTS))
+    picked = known.where(share < F.lit(SAMPLE_ROWS / max(total, 1)))  # a share of the ids: no sort, no task that sees them all
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"])
+    got = sorted(with_statistics(rows.select("quality", "h", "text")).collect(), key=lambda r: (r["h"], *[r[s] for s in STATS]))
     x = np.array([[r[s] for s in STATS] for r in got], np.float64).reshape(len(got), len(STATS))
     return Ensemble(x, np.array([r["quality"] for r in got], np.float64))
 

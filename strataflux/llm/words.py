@@ -24,7 +24,7 @@ SPACED = folded(b"")
 class Hashes(dict):
     """word -> 64-bit hash; emptied when it holds `limit` words, as hashes can be made again."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
         from xxhash import xxh3_64_intdigest
