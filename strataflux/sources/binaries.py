@@ -230,7 +230,7 @@ def scan_start_codes(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     return spread.mapInPandas(search, "path string, at bigint, code bigint")
 
 
-_PACKET_SCHEMA = ("stream string, seq bigint, at bigint, kind string, stream_id bigint, scr_ticks bigint, mux_rate bigint, "
+PACKET_SCHEMA = ("stream string, seq bigint, at bigint, kind string, stream_id bigint, scr_ticks bigint, mux_rate bigint, "
                   "hdr_bytes bigint, payload_bytes bigint, skipped_bytes bigint")
 
 
@@ -245,37 +245,32 @@ def _header_bytes(body):
     return at + {2: 5, 3: 10}.get(lead, 1)
 
 
+def record_at(data: bytes, hit: int) -> tuple[list[tuple], int] | None:
+    """Rows (kind, id, ticks, rate, header bytes, payload bytes) of the record at a start code, and where the next may begin; None ends a walk."""
+    if hit < 0 or hit + 4 > len(data) or data[hit + 3] == 0xB9:
+        return None
+    code, body = data[hit + 3], hit + 4
+    if code == 0xBA:
+        f = data[body:body + 8]
+        if len(f) < 8:
+            return None
+        ticks = (f[0] >> 3 & 1) << 32 | (f[0] >> 1 & 3) << 30 | f[1] << 22 | f[2] >> 1 << 15 | f[3] << 7 | f[4] >> 1
+        return [("pack", None, ticks, (f[5] & 0x7F) << 15 | f[6] << 7 | f[7] >> 1, 12, 0)], body + 8
+    size = int.from_bytes(data[body:body + 2], "big")
+    inner, after = data[body + 2:body + 2 + size], body + 2 + size
+    if code == 0xBB:
+        ids = [inner[i] for i in range(6, len(inner) - 2, 3) if inner[i] >= 0x80] or [None]
+        return [("header", sid, None, None, 6 + size if n == 0 else 0, 0) for n, sid in enumerate(ids)], after
+    head = _header_bytes(inner) if 0xC0 <= code < 0xF0 else 0
+    return [("packet", code, None, None, 6 + head, size - head)], after
+
+
 def _walk_packets(name, data):
-    at, seq = 0, 0
-    while True:
-        hit = data.find(PREFIX, at)
-        if hit < 0 or hit + 4 > len(data):
-            return
-        skipped, code, body = hit - at, data[hit + 3], hit + 4
-        if code == 0xB9:
-            return
-        if code == 0xBA:
-            f = data[body:body + 8]
-            if len(f) < 8:
-                return
-            ticks = (f[0] >> 3 & 1) << 32 | (f[0] >> 1 & 3) << 30 | f[1] << 22 | f[2] >> 1 << 15 | f[3] << 7 | f[4] >> 1
-            rate = (f[5] & 0x7F) << 15 | f[6] << 7 | f[7] >> 1
-            yield (name, seq, hit, "pack", None, ticks, rate, 12, 0, skipped)
-            at = body + 8
-        else:
-            size = int.from_bytes(data[body:body + 2], "big")
-            inner = data[body + 2:body + 2 + size]
-            if code == 0xBB:
-                ids = [inner[i] for i in range(6, len(inner) - 2, 3) if inner[i] >= 0x80]
-                for n, sid in enumerate(ids or [None]):
-                    yield (name, seq, hit, "header", sid, None, None, 6 + size if n == 0 else 0, 0, skipped if n == 0 else 0)
-                    seq += 1
-                seq -= 1
-            else:
-                head = _header_bytes(inner) if code >= 0xC0 and code < 0xF0 else 0
-                yield (name, seq, hit, "packet", code, None, None, 6 + head, size - head, skipped)
-            at = body + 2 + size
-        seq += 1
+    at = seq = 0
+    while (record := record_at(data, hit := data.find(PREFIX, at))) is not None:
+        for n, (kind, sid, ticks, rate, head, size) in enumerate(record[0]):
+            yield (name, seq + n, hit, kind, sid, ticks, rate, head, size, hit - at if n == 0 else 0)
+        seq, at = seq + len(record[0]), record[1]
 
 
 def packet_records(df: DataFrame) -> DataFrame:
@@ -284,7 +279,7 @@ def packet_records(df: DataFrame) -> DataFrame:
     A packet's length says where the next record may begin, so codes inside
     payload are passed over. Bytes before a code count as skipped.
     """
-    names = [c.split()[0] for c in _PACKET_SCHEMA.split(", ")]
+    names = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
 
     def walk(batches):
         for pdf in batches:
@@ -294,7 +289,7 @@ def packet_records(df: DataFrame) -> DataFrame:
                 frame[n] = frame[n].astype("Int64")
             yield frame
 
-    return df.select("path", "content").mapInPandas(walk, _PACKET_SCHEMA)
+    return df.select("path", "content").mapInPandas(walk, PACKET_SCHEMA)
 
 
 # --- hex records ---------------------------------------------------------
