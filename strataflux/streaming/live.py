@@ -1,10 +1,7 @@
-"""Structured Streaming jobs over packets, pictures, deltas and vector files.
+"""Structured Streaming jobs over packets, pictures and vector files.
 
-Windowed counts use the engine's own state. Where rows must see what earlier
-rows of their key left behind (a running level, the first id of a stream), each
-micro-batch is a distributed batch job and the carry is a small table, one row
-per key, written per batch id in the shared folder: a replayed batch reads the
-same carry and overwrites its own output, and no key's rows queue in one task.
+Windowed counts, sessions and duplicates use the engine's own state; what else rows
+must know of earlier batches is in `state`.
 """
 
 from __future__ import annotations
@@ -16,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from strataflux.operators import conformance, evaluate, runs, streams
-from strataflux.operators.scan import WIDTH
+from strataflux.operators import conformance, evaluate
 from strataflux.sources import vectors
 
 
@@ -56,6 +52,12 @@ def picture_sessions(pictures: DataFrame, watermark: str, gap: str) -> DataFrame
     )
 
 
+def closing_row(events: DataFrame, at: str, years: int = 10) -> DataFrame:
+    """One row, null but for a time long after all others: delivered last, it lets the watermark pass every window and session."""
+    last = events.agg((F.max(at) + F.make_interval(F.lit(years))).cast(events.schema[at].dataType).alias(at))
+    return last.select(*[F.col(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+
+
 def append_to(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to parquet, taking what is there and then stopping."""
     return (
@@ -64,81 +66,12 @@ def append_to(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-# --- carries between batches ---------------------------------------------
-
-def _carry_path(state: str, batch_id: int) -> str:
-    return f"{state}/batch={batch_id}"
-
+# --- sinks by batch id -----------------------------------------------------
 
 def _each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_delta_decode(deltas: DataFrame, part: list[str], order: list[str], delta: str, out: str, state: str, checkpoint: str,
-                        width: int | None = WIDTH) -> StreamingQuery:
-    """Running level per part across batches; batches must arrive in order."""
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        totals = batch.groupBy(*part).agg(F.sum(delta).alias("_total"))
-        level = runs.delta_decode(batch, part, order, delta, width=width)
-        if batch_id > 0:
-            before = spark.read.parquet(_carry_path(state, batch_id - 1))
-            level = level.join(before, part, "left").withColumn("level", F.col("level") + F.coalesce("carry", F.lit(0))).drop("carry")
-            carry = totals.join(before, part, "full_outer").select(
-                *part, (F.coalesce("_total", F.lit(0)) + F.coalesce("carry", F.lit(0))).alias("carry"))
-        else:
-            carry = totals.withColumnRenamed("_total", "carry")
-        level.write.mode("overwrite").parquet(_carry_path(out, batch_id))
-        carry.write.mode("overwrite").parquet(_carry_path(state, batch_id))
-    return _each_batch(deltas, work, checkpoint)
-
-
-def stream_first_stream(packets: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Classify packets as they come: declared before, adopted, and of the first video id of their stream.
-
-    The carry holds, per stream and id, the first header and the first packet.
-    """
-    keys = ["stream", "stream_id"]
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.groupBy(*keys).agg(
-            F.min(F.when(F.col("kind") == "header", F.col("seq"))).alias("header_seq"),
-            F.min(F.when(F.col("kind") == "packet", F.col("seq"))).alias("packet_seq"))
-        if batch_id > 0:
-            seen = spark.read.parquet(_carry_path(state, batch_id - 1)).unionByName(seen).groupBy(*keys).agg(
-                F.min("header_seq").alias("header_seq"), F.min("packet_seq").alias("packet_seq"))
-        seen.write.mode("overwrite").parquet(_carry_path(state, batch_id))
-        known = spark.read.parquet(_carry_path(state, batch_id))
-        sid = F.col("stream_id")
-        first = known.where(streams.is_video(sid)).groupBy("stream").agg(
-            F.min_by("stream_id", F.least("header_seq", "packet_seq")).alias("video_id"))
-        declared = F.coalesce(F.col("header_seq") < F.col("seq"), F.lit(False))
-        media = streams.is_audio(sid) | streams.is_video(sid)
-        marked = batch.where("kind = 'packet'").join(known, keys, "left").join(first, "stream", "left").select(
-            "stream", "stream_id", "seq", "payload_bytes", declared.alias("declared"),
-            (media & ~declared & (F.col("seq") > F.col("packet_seq"))).alias("adopted"),
-            F.coalesce(sid == F.col("video_id"), F.lit(False)).alias("chosen"))
-        marked.write.mode("overwrite").parquet(_carry_path(out, batch_id))
-    return _each_batch(packets, work, checkpoint)
-
-
-def stream_late_split(events: DataFrame, delay_us: int, out: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Rows with a flag: older than the newest time of earlier batches less the delay. Needs `at_us`."""
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.agg(F.max("at_us").alias("newest"))
-        limit = None
-        if batch_id > 0:
-            before = spark.read.parquet(_carry_path(state, batch_id - 1))
-            newest = newest.unionByName(before).agg(F.max("newest").alias("newest"))
-            limit = before.first()["newest"]  # a one-row table
-        late = F.lit(False) if limit is None else F.col("at_us") < limit - delay_us
-        batch.withColumn("late", late).write.mode("overwrite").parquet(_carry_path(out, batch_id))
-        newest.write.mode("overwrite").parquet(_carry_path(state, batch_id))
-    return _each_batch(events, work, checkpoint)
-
-
 def text_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Lines of arriving text files with their place."""
     reader = spark.readStream.format("text")
@@ -148,17 +81,37 @@ def text_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
         F.col("_metadata.file_path").alias("suite"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("raw"))
 
 
-def stream_conformance(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Check vector files as they arrive; verdicts are written per batch, one per suite and line."""
+VERDICT = "suite string, line_no bigint, op string, exp1 string, verdict string"
+
+
+def judge_files(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Check vector files as they arrive: VERDICT rows below `out`, a folder for each batch id, so a replayed batch writes its own rows again."""
     def work(batch: DataFrame, batch_id: int) -> None:
         ops = conformance.catalogue(batch.sparkSession)
-        parsed, _ = vectors.parse_vectors(vectors.classify_lines(vectors.number_lines(batch)))
+        numbered = vectors.number_lines(batch)
+        parsed, _ = vectors.parse_vectors(vectors.classify_lines(numbered))
         bound, _ = conformance.bind_ops(parsed, ops)
-        verdicts = evaluate.run_vectors(bound).dropDuplicates(["suite", "line_no"])
-        verdicts.write.mode("overwrite").parquet(_carry_path(out, batch_id))
+        verdicts = evaluate.run_vectors(bound)
+        verdicts.select("suite", F.col("line_no").cast("bigint").alias("line_no"), "op", "exp1", "verdict").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return _each_batch(lines, work, checkpoint)
 
 
+def once_only(spark: SparkSession, judged: str) -> DataFrame:
+    """Stream of the verdicts below `judged`, the first of each file name, line, operation and expectation over all batches.
+
+    A file that is delivered again, under the same name in another folder or
+    another batch, adds nothing: its lines are in the engine's duplicate state.
+    """
+    rows = file_stream(spark, f"{judged}/*", StructType.fromDDL(VERDICT))
+    return rows.withColumn("name", F.regexp_extract("suite", "[^/]+$", 0)).dropDuplicates(["name", "line_no", "op", "exp1"])
+
+
+def stream_conformance(lines: DataFrame, judged: str, out: str, checkpoint: str) -> None:
+    """Judge what has arrived and add the new verdicts to `out`; call it again, with the same folders, when more has come."""
+    judge_files(lines, judged, f"{checkpoint}/judged").awaitTermination()
+    append_to(once_only(lines.sparkSession, judged), out, f"{checkpoint}/once").awaitTermination()
+
+
 def distinct_within(df: DataFrame, keys: list[str], watermark: str) -> DataFrame:
     """First row of each key within the watermark's reach; needs an `at` timestamp column."""
     return df.withWatermark("at", watermark).dropDuplicatesWithinWatermark(keys)

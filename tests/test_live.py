@@ -2,57 +2,65 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from strataflux.operators import runs as R
 from strataflux.streaming import live as L
+from strataflux.streaming import state as S
 
 
-@pytest.fixture
-def parts(spark, folder):
-    """Ten ordered files of a hot key and a cold one."""
-    rng = random.Random(3)
-    rows = [(0 if rng.random() < 0.8 else 1, i, rng.randint(-9, 9)) for i in range(300)]
-    df = spark.createDataFrame(rows, "part bigint, pos bigint, d bigint")
-    for i in range(3):
-        df.where(f"pos div 100 = {i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return df
-
-
-def run(folder, name, start):
-    start(f"{folder}/{name}", f"{folder}/{name}-state", f"{folder}/{name}-check").awaitTermination()
-    return f"{folder}/{name}"
+def twice(spark, folder, files, schema, job):
+    """What `job` writes when the query stops after the first file and starts again for the rest, one file a batch."""
+    for part in (files[:1], files[1:]):
+        for df in part:
+            df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        done = job(L.file_stream(spark, f"{folder}/in", schema, files_per_batch=1))
+        L.append_to(done, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/out")
 
 
-def test_delta_decode_over_batches(spark, folder, parts):
-    stream = L.file_stream(spark, f"{folder}/in", parts.schema, files_per_batch=1)
-    out = run(folder, "lv", lambda o, s, c: L.stream_delta_decode(stream, ["part"], ["pos"], "d", o, s, c, width=16))
-    got = spark.read.parquet(out)
-    assert got.select("batch").distinct().count() == 3
-    want = R.delta_decode(parts, ["part"], ["pos"], "d")
-    assert got.select("part", "pos", "level").exceptAll(want.select("part", "pos", "level")).count() == 0 and got.count() == 300
+def test_levels_over_batches_and_a_restart(spark, folder):
+    rng = random.Random(3)
+    rows = [(0 if rng.random() < 0.8 else 1, i, rng.randint(-9, 9)) for i in range(300)] + [(7, 250, 5), (None, 10, 2), (None, 200, 3)]
+    df = spark.createDataFrame(rows, "part bigint, pos bigint, d bigint")
+    files = [df.where(f"pos div 100 = {i}").orderBy(F.rand(1)) for i in range(3)]
+    got = twice(spark, folder, files, df.schema, lambda s: S.running_levels(s, ["part"], "pos", "d"))
+    want = R.delta_decode(df, ["part"], ["pos"], "d").select("part", "pos", "level")
+    assert got.count() == 303
+    assert got.select("part", "pos", "level").exceptAll(want).count() == 0
 
 
-def test_first_stream_over_batches(spark, folder):
+def test_first_stream_over_batches_and_a_restart(spark, folder):
     rows = [(0, "packet", 225, 1, 5), (0, "packet", 224, 2, 5), (0, "header", 224, 3, 0),
-            (0, "packet", 224, 10, 5), (0, "packet", 225, 11, 5), (0, "packet", 192, 12, 5)]
+            (0, "packet", 224, 10, 5), (0, "packet", 225, 11, 5), (0, "packet", 192, 12, 5), (1, "header", 224, 13, 0),
+            (1, "packet", 224, 20, 5), (0, "packet", 192, 21, 5), (0, "packet", 250, 22, 5)]
     df = spark.createDataFrame(rows, "stream bigint, kind string, stream_id bigint, seq bigint, payload_bytes bigint")
-    for cond in ("seq < 10", "seq >= 10"):
-        df.where(cond).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = L.file_stream(spark, f"{folder}/in", df.schema, files_per_batch=1)
-    out = run(folder, "fs", lambda o, s, c: L.stream_first_stream(stream, o, s, c))
-    got = {r.seq: (r.declared, r.adopted, r.chosen) for r in spark.read.parquet(out).collect()}
-    assert got == {1: (False, False, True), 2: (False, False, False), 10: (True, False, False), 11: (False, True, True), 12: (False, False, False)}
+    files = [df.where(f"seq div 10 = {i}").orderBy(F.desc("seq")) for i in range(3)]
+    out = twice(spark, folder, files, df.schema, S.first_streams)
+    got = {r.seq: (r.declared, r.adopted, r.chosen) for r in out.collect()}
+    no = (False, False, False)
+    assert got == {1: (False, False, True), 2: no, 10: (True, False, False), 11: (False, True, True), 12: no,
+                   20: (True, False, True), 21: (False, True, False), 22: no}
 
 
 def test_late_rows_are_told_apart(spark, folder):
-    for times in ([0, 100], [200, 10, 150]):
-        spark.createDataFrame([(t,) for t in times], "at_us bigint").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
-    stream = L.file_stream(spark, f"{folder}/in", schema, files_per_batch=1)
-    out = run(folder, "late", lambda o, s, c: L.stream_late_split(stream, 50, o, s, c))
-    assert {r.at_us: r.late for r in spark.read.parquet(out).collect()} == {0: False, 100: False, 200: False, 10: True, 150: False}
+    second = 1_000_000
+    batches = [[(0, 0), (1, 100)], [(2, 200), (3, 10), (4, 150)], [(5, 149), (6, 151), (7, 300)]]
+    schema = "stream bigint, seq bigint, at_us bigint"
+    files = [spark.createDataFrame([(0, s, t * second) for s, t in rows], schema) for rows in batches]
+    out = twice(spark, folder, files, files[0].schema, lambda s: S.late_flags(s, "50 seconds"))
+    got = {r.seq: (r.late, r.late_so_far) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: False, 1: False, 2: False, 3: True, 4: False, 5: True, 6: False, 7: False}
+    assert got[3][1] == 1 and got[7][1] == 2
+
+
+def test_closing_row_lets_all_windows_out(spark, folder):
+    df = spark.createDataFrame([(0, s, 2) for s in (0, 30, 61, 500)], "stream bigint, s bigint, payload_bytes bigint").select("stream", F.timestamp_seconds("s").alias("at"), "payload_bytes")
+    df.write.parquet(f"{folder}/in")
+    L.closing_row(df, "at").write.mode("append").parquet(f"{folder}/in")
+    stream = L.file_stream(spark, f"{folder}/in", df.schema)
+    L.append_to(L.packet_windows(stream, "1 minute", "1 minute"), f"{folder}/w", f"{folder}/w-check").awaitTermination()
+    assert {(r.stream, r.from_s, r.n) for r in spark.read.parquet(f"{folder}/w").collect()} == {(0, 0, 2), (0, 60, 1), (0, 480, 1)}
 
 
 def test_windows_drop_late_rows(spark, folder):
@@ -73,7 +81,17 @@ def test_conformance_files(spark, folder):
         f.write("fabs.x bfff00008000000000000000 = 3fff00008000000000000000\nfabs.x bfff00008000000000000000 = 3fff00008000000000000001\n")
     with open(f"{folder}/in/b.vec", "w") as f:
         f.write("# nothing\nfneg.d 3ff0000000000000 = bfff00008000000000000000 n\nquit\nfneg.d 0 = 0\n")
-    out = f"{folder}/out"
-    L.stream_conformance(L.text_stream(spark, f"{folder}/in", 1), out, f"{folder}/check").awaitTermination()
-    got = {(r.suite[-5:], r.line_no): r.verdict for r in spark.read.parquet(out).collect()}
-    assert got == {("a.vec", 1): "ok", ("a.vec", 2): "not_representable", ("b.vec", 2): "ok"}
+    def come():
+        L.stream_conformance(L.text_stream(spark, f"{folder}/in*", 1), f"{folder}/judged", f"{folder}/out", f"{folder}/check")
+        return {(r.suite[-5:], r.line_no): r.verdict for r in spark.read.parquet(f"{folder}/out").collect()}
+
+    want = {("a.vec", 1): "ok", ("a.vec", 2): "not_representable", ("b.vec", 2): "ok"}
+    assert come() == want
+    # the same file once more, elsewhere and later, and a new one
+    os.makedirs(f"{folder}/in2")
+    with open(f"{folder}/in/a.vec") as f, open(f"{folder}/in2/a.vec", "w") as g:
+        g.write(f.read())
+    with open(f"{folder}/in2/c.vec", "w") as f:
+        f.write("fneg.d 3ff0000000000000 = bfff00008000000000000000 n\n")
+    assert come() == {**want, ("c.vec", 1): "ok"}
+    assert spark.read.parquet(f"{folder}/out").count() == 4
