@@ -89,19 +89,13 @@ def reassemble(packets: DataFrame, low: int = VIDEO[0], high: int = VIDEO[1], wi
     """Payload pieces of the chosen stream with their byte offset in the joined output.
 
     The output of a hot stream is never gathered: a piece knows its place, and
-    `write_payload` writes ranges of pieces in order.
+    `sources.ranges.write_payload` writes ranges of pieces in order.
     """
     chosen = first_stream(packets, low, high).where("kind = 'packet'")
     placed = scan(chosen, ["stream"], ["seq"], {"_end": RunningSum(F.col("payload_bytes"))}, width=width)
     return placed.select("stream", "stream_id", "seq", (F.col("_end") - F.col("payload_bytes")).alias("start_byte"), "payload_bytes", "payload")
 
 
-def write_payload(pieces: DataFrame, path: str) -> None:
-    """Pieces as files that follow each other in stream and byte order."""
-    pieces.repartitionByRange("stream", "start_byte").sortWithinPartitions("stream", "start_byte").select("stream", "payload").write.mode(
-        "errorifexists").partitionBy("stream").text(path)
-
-
 def clock_gaps(packets: DataFrame, width: int | None = WIDTH) -> DataFrame:
     """Ticks and seconds since the packet before, across the 33-bit wrap, and the rates in between."""
     done = scan(packets, ["stream"], ["seq"], {"_prev": Previous(F.col("scr_ticks"))}, width=width)

@@ -120,14 +120,15 @@ with chars as (
   window w as (partition by doc_id order by pos)), numbered as (
   select *, sum(f) over (partition by doc_id order by pos rows unbounded preceding) as g from marked), pieces as (
   select doc_id, g, count(*) as n from numbered group by doc_id, g)
-select doc_id, count(*) as n_runs, max(n) as longest, cast(sum(n * n) as bigint) as square_sum from pieces group by doc_id""")
+select doc_id, count(n) as n_runs, coalesce(max(n), 0) as longest, coalesce(cast(sum(n * n) as bigint), 0) as square_sum
+from documents left join pieces using (doc_id) group by doc_id""")
 def text_runs(spark, d):
-    lens = F.transform(R.text_runs(F.col("text")), lambda p: F.length(p).cast("bigint"))
+    lens = F.transform(R.text_runs(F.coalesce("text", F.lit(""))), lambda p: F.length(p).cast("bigint"))
     return (
-        T.table(spark, d, "documents").where(F.length("text") > 0)
+        T.table(spark, d, "documents")
         .select("doc_id", lens.alias("lens"))
         .select(
-            "doc_id", F.size("lens").cast("bigint").alias("n_runs"), F.array_max("lens").alias("longest"),
+            "doc_id", F.size("lens").cast("bigint").alias("n_runs"), F.coalesce(F.array_max("lens"), F.lit(0).cast("bigint")).alias("longest"),
             F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, n: a + n * n).alias("square_sum"),
         )
     )

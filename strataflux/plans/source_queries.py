@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflux.functions import media
+from strataflux.operators import streams as S
+from strataflux.operators.scan import RunningSum, scan
+from strataflux.plans import fixtures_sql as X
 from strataflux.plans.registry import query
 from strataflux.session import scratch_path
 from strataflux.sources import binaries as N
-from strataflux.sources.tables import table
+from strataflux.sources import ranges as G
+from strataflux.sources.tables import packets, table
 
 
 def _content(df, path, *pieces):
@@ -130,6 +134,43 @@ def start_codes(spark, d):
     return N.scan_start_codes(_system_stream(spark, d), chunk_bytes=16)
 
 
+def _written_streams(spark, d):
+    """System streams written as files: the records of all events one after the other, without end codes."""
+    body = _system_stream(spark, d).withColumn("content", F.expr("substring(content, 1, length(content) - 4)"))
+    rows = body.select((F.col("path").cast("bigint") % 5).alias("stream"), F.col("path").cast("bigint").alias("seq"), F.col("content").alias("payload"), F.length("content").cast("bigint").alias("n"))
+    placed = scan(rows, ["stream"], ["seq"], {"_end": RunningSum(F.col("n"))})
+    path = scratch_path(spark, "system")
+    G.write_payload(placed.select("stream", (F.col("_end") - F.col("n")).alias("start_byte"), "payload"), path)
+    return path
+
+
+@query("packet_ranges", """
+with e as (select event_id % 3 as j, event_id, user_id, length(props) as n from events), r as (
+  select 'pack' as kind, null::bigint as stream_id, (event_id * 1000003) % 8589934592 as ticks, user_id + 7 as rate, 12 as hdr, 0 as payload, j as skipped from e
+  union all select 'header', 192, null, null, 18, 0, 0 from e
+  union all select 'header', 224, null, null, 0, 0, 0 from e
+  union all select 'packet', 224 + event_id % 2, null, null, 7, n + 4, 0 from e)
+select kind, stream_id, count(*) as n, cast(sum(ticks) as bigint) as ticks, cast(sum(rate) as bigint) as rate, cast(sum(hdr) as bigint) as hdr_bytes,
+  cast(sum(payload) as bigint) as payload_bytes, cast(sum(skipped) as bigint) as skipped_bytes from r group by kind, stream_id""")
+def packet_ranges(spark, d):
+    """Packets of long files, each cut into many ranges."""
+    found = G.packets(G.read_ranges(spark, _written_streams(spark, d), ending=".bin", chunk_bytes=256 << 10))
+    return found.groupBy("kind", "stream_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("scr_ticks").alias("ticks"), F.sum("mux_rate").alias("rate"), F.sum("hdr_bytes").alias("hdr_bytes"),
+        F.sum("payload_bytes").alias("payload_bytes"), F.sum("skipped_bytes").alias("skipped_bytes"))
+
+
+@query("payload_written", X.with_(X.PACKETS) + """, chosen as (
+  select stream, arg_min(stream_id, seq) as stream_id from packets where stream_id between 224 and 239 group by stream)
+select cast(stream as varchar) as stream, cast(sum(octet_length(encode(payload))) as bigint) as bytes, sha256(string_agg(payload, '' order by seq)) as sha256
+from packets join chosen using (stream, stream_id) where kind = 'packet' group by stream""")
+def payload_written(spark, d):
+    """The payload of each stream's first video id, written as raw bytes and read back."""
+    path = scratch_path(spark, "payload")
+    G.write_payload(S.reassemble(packets(table(spark, d, "events"))), path)
+    return G.stream_digests(G.read_payload(spark, path))
+
+
 @query("byte_checksum", """
 with b as (select doc_id, hex(encode(text)) as x from documents), s as (
   select doc_id, coalesce(list_sum(list_transform(regexp_extract_all(x, '..'), lambda p: cast('0x' || p as bigint))), 0) as t from b)
@@ -154,10 +195,10 @@ for _fmt, (_line, _last) in _HEX_SQL.items():
             table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content")), "item_id", _fmt))
 
 
-@query("hex_records_written", "select doc_id % 10 as bucket, cast(sum((octet_length(encode(text)) + 31) // 32) as bigint) as n from documents group by 1")
+@query("hex_records_written", "select doc_id % 10 as bucket, cast(sum(coalesce((octet_length(encode(text)) + 31) // 32, 0) + 1) as bigint) as n from documents group by 1")
 def hex_records_written(spark, d):
     path = scratch_path(spark, "hex")
     docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    lines = N.to_hex_records(docs, "doc_id", "s").where("line not like 'S8%'")
+    lines = N.to_hex_records(docs, "doc_id", "s")
     N.write_hex_records(lines.withColumn("line", F.concat_ws(" ", F.col("doc_id") % 10, "line")), "doc_id", path)
     return spark.read.text(path).groupBy(F.substring_index("value", " ", 1).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

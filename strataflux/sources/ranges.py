@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +125,7 @@ def _exits(piece: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
             exits[i] = ENDED
             continue
         rows, after = record
-        later = int(np.searchsorted(hits, after)) if after < stop - start else len(hits)
+        later = bisect_left(hits, after) if after < stop - start else len(hits)
         exits[i] = exits[later] if later < len(hits) else start + after
         counts[i] = len(rows) + (counts[later] if later < len(hits) else 0)
     steps: list[tuple[int, int, int]] = []
