@@ -5,8 +5,8 @@
 and finds the records that one walk over the whole file finds. Where a record
 begins depends on the lengths of all records before it, so a range cannot know
 alone which of its start codes are real. It first says, for every place a walk may
-enter it, where that walk leaves it; those step functions are short, as walks that
-meet stay together. Put together in file order they give the true entry of each
+enter it, where that walk leaves it; a walk enters within OVERLAP_BYTES of the start
+or passes the range by, so those step functions are short. Put together in file order they give the true entry of each
 range, and every range is then walked from there.
 
 `payload_files` writes the pieces of `streams.reassemble` as raw bytes. A task
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from strataflux.session import scratch_path
 from strataflux.sources import binaries
 
 CHUNK_BYTES = 8 << 20
@@ -133,6 +134,8 @@ def _exits(piece: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
         if steps and steps[-1][1:] == (leave, n):
             steps.pop()
         steps.append((start + hit, leave, n))
+        if hit >= OVERLAP_BYTES:  # no record reaches further into a range
+            break
     return steps
 
 
@@ -180,6 +183,9 @@ def packets(ranges: DataFrame) -> DataFrame:
     found = ranges.select("path", "start", "stop", "piece").mapInArrow(summaries, f"path string, start bigint, {steps}")
     # one row for a range: a file of a terabyte has about 130,000
     entered = found.groupBy("path").applyInPandas(_entries, "path string, start bigint, entry bigint, seq bigint")
+    path = scratch_path(ranges.sparkSession, "range-entries")
+    entered.write.parquet(path)  # so that the join knows its size and need not shuffle the pieces
+    entered = ranges.sparkSession.read.schema(entered.schema).parquet(path)
     return ranges.join(entered, ["path", "start"]).select("path", "start", "stop", "piece", "entry", "seq").mapInArrow(walk, binaries.PACKET_SCHEMA)
 
 
