@@ -26,6 +26,7 @@ sent on when HELD of them have gathered.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ BITS = 1 << 26
 HELD = 2_000_000
 CACHE_WORDS = 200_000
 SEGMENT = 1 << 20  # bytes of a text looked at at once
+PACKS = 256  # rows in which a task sends its counts of a language
 SLOTS = 64  # the best of a language are the best of its slots' best
 NO_LANG = "und"
 
@@ -245,10 +247,11 @@ def candidates(docs: DataFrame, bits: dict) -> DataFrame:
 
         def flush():
             for (lang, shard), counts in held.items():
-                found = list(counts)
-                for at in range(0, len(found), 50_000):
-                    group = found[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(group)), pa.array([shard] * len(group), pa.int32()), pa.array(group, pa.binary()), pa.array([counts[p] for p in group], pa.int64())], names=["lang", "shard", "phrase", "n"])
+                slots: dict[int, list[bytes]] = {}
+                for phrase in counts:
+                    slots.setdefault(crc32(phrase) % PACKS, []).append(phrase)
+                for slot, group in slots.items():
+                    yield _pack(lang, shard, slot, group, [counts[p] for p in group])
             held.clear()
 
         def fn(lang, shard, texts):
@@ -279,10 +282,40 @@ def candidates(docs: DataFrame, bits: dict) -> DataFrame:
 
         return fn
 
-    found = _counted(docs, make, "phrase binary, n long")
+    packs = _counted(docs, make, "slot int, phrases array<binary>, counts array<long>")
+    dealt = packs.repartition("lang", "slot").sortWithinPartitions("lang", "slot")
+    found = dealt.select("lang", "slot", "phrases", "counts").mapInArrow(_summed, "lang string, phrase binary, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).withColumn("phrase", F.col("phrase").cast("string"))
 
 
+def _pack(lang: str, shard: int, slot: int, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    """One row for all counts of a task in a slot: far fewer rows to shuffle than one a phrase."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang]), pa.array([shard], pa.int32()), pa.array([slot], pa.int32()), pa.array([phrases], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))],
+        names=["lang", "shard", "slot", "phrases", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a slot's phrases; rows come sorted by slot, so one slot is held at a time, and sent on early when it is large."""
+    key, held = None, {}
+
+    def ready():
+        found = list(held)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found)), pa.array(found, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "n"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, slot, phrases, counts = (c[i].as_py() for c in batch.columns)
+            if held and ((lang, slot) != key or len(held) > HELD // 8):
+                yield ready()
+                held = {}
+            key = (lang, slot)
+            for phrase, n in zip(phrases, counts):
+                held[phrase] = held.get(phrase, 0) + n
+    if held:
+        yield ready()
+
+
 def bitset(keys: DataFrame) -> bytes:
     """BITS bits, one set for each key; the driver gets at most BITS / 64 words."""
     slot = F.col("key").bitwiseAND(F.lit(BITS - 1))
