@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflux.operators import runs as R
+from strataflux.operators import segments as G
 from strataflux.plans import fixtures_sql as X
 from strataflux.plans.registry import query
 from strataflux.session import scratch_path
@@ -203,3 +204,24 @@ def change_unpack(spark, d):
 select part, pos, cast(28 + moved as bigint) as "offset" from stepped where ended = 0 and b > 1""")
 def fixup_offsets(spark, d):
     return R.fixup_offsets(_bytes(spark, d), ["part"], "pos", "b", start=F.lit(28))
+
+
+@query("segments", """
+with b as (select vec_id % 3 as part, vec_id // 3 as pos, case when vec_id % 1000 < 400 then label % 2 else label // 4 end as val from embeddings)
+select part, pos, val from b""")
+def segments(spark, d):
+    """Solid, pattern and literal pieces of each sequence, expanded again."""
+    e = T.table(spark, d, "embeddings").select(
+        F.expr("vec_id % 3").alias("part"), F.expr("vec_id div 3").alias("pos"), F.expr("case when vec_id % 1000 < 400 then label % 2 else label div 4 end").cast("bigint").alias("val"))
+    return G.expand(G.segments(e, ["part"], "pos", "val", chunk=1 << 10), ["part"], "pos", "val")
+
+
+@query("segment_sizes", """
+with b as (select vec_id % 3 as part, vec_id // 3 as pos, case when vec_id % 1000 < 400 then label % 2 else label // 4 end as val from embeddings)
+select part, count(*) as covered, true as gapless from b group by part""")
+def segment_sizes(spark, d):
+    """Pieces cover every value once: sizes add up to it and no piece begins elsewhere than the one before ends."""
+    e = T.table(spark, d, "embeddings").select(
+        F.expr("vec_id % 3").alias("part"), F.expr("vec_id div 3").alias("pos"), F.expr("case when vec_id % 1000 < 400 then label % 2 else label div 4 end").cast("bigint").alias("val"))
+    found = G.segments(e, ["part"], "pos", "val", chunk=1 << 10)
+    return found.groupBy("part").agg(F.sum("size").alias("covered"), (F.sum("size") == F.max(F.col("start") + F.col("size"))).alias("gapless"))
