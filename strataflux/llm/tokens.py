@@ -15,7 +15,7 @@ import re
 
 VOCABULARY = "word_bpe_49k.json"
 VOCABULARY_SIZE = 49_408
-CACHE_BYTES = 20 << 20  # of a cache generation; two caches hold two each, so memory is bounded whatever the corpus
+CACHE_BYTES = 48 << 20  # of a cache generation; two caches hold two each, so memory is bounded whatever the corpus
 ENTRY_BYTES = 160  # of the objects around a word and its ids
 
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
