@@ -28,13 +28,13 @@ def text_or_empty(col) -> F.Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose `column` (binary) holds about SLICE_BYTES; a longer value stands alone."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose `column` (binary) holds about `most` bytes; a longer value stands alone."""
     sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
     first = held = 0
     for i, size in enumerate(sizes):
         size = size or 0
-        if i > first and held + size > SLICE_BYTES:
+        if i > first and held + size > most:
             yield batch.slice(first, i - first)
             first, held = i, 0
         held += size

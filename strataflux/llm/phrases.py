@@ -42,7 +42,8 @@ LEVELS = ((2,), (3,), (4, 5))  # sizes counted in one reading; few phrases are l
 SHARDS = 8
 BITS = 1 << 26
 HELD = 2_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+SLICE_BYTES = 8 << 20  # of texts, whose words are made a run at a time
 SEGMENT = 1 << 20  # bytes of a text looked at at once
 PACKS = 256  # rows in which a task sends its counts of a language
 SLOTS = 64  # the best of a language are the best of its slots' best
@@ -144,7 +145,7 @@ def _counted(docs: DataFrame, make: Callable[[], Callable], out: str) -> DataFra
 
         fn = make()
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", SLICE_BYTES):
                 groups: dict[tuple, list] = {}
                 for lang, shard, text in zip(*[part.column(i).to_pylist() for i in range(3)]):
                     groups.setdefault((lang, shard), []).append(text)
