@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataflux.operators.nearest import closest, nearest_by_cells
+
 RGB = ("r", "g", "b")
 
 # Colour-space weights, 16-bit fixed point.
@@ -517,12 +519,12 @@ def nearest(df: DataFrame, colours: DataFrame) -> DataFrame:
 def nearest_vectors(vectors: DataFrame, centroids: DataFrame, vec: str, key: str, limit: int = 4096) -> DataFrame:
     """Vectors with the key of their nearest centroid; the lowest key wins ties.
 
-    The centroid table is small by meaning; its size is checked before it is
-    sent with the task code, and a larger one is refused.
+    A table of at most `limit` centroids is sent with the task code; a larger
+    one is cut into cells and blocks, see `operators.nearest`.
     """
     rows = centroids.orderBy(key).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} centroids")
+        return nearest_by_cells(vectors, centroids, vec, key)
     keys = np.array([r[key] for r in rows])
     table = np.array([r["centroid"] for r in rows], dtype=np.float64)
 
@@ -531,8 +533,7 @@ def nearest_vectors(vectors: DataFrame, centroids: DataFrame, vec: str, key: str
             out = pdf.drop(columns=[vec])
             if len(pdf):
                 v = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-                best = np.stack([((v - t) ** 2).sum(axis=1) for t in table]).argmin(axis=0)
-                out = out.assign(nearest=keys[best])
+                out = out.assign(nearest=keys[closest(v, table)[0]])
             else:
                 out = out.assign(nearest=np.array([], dtype=np.int64))
             yield out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataflux.operators import nearest as N
 from strataflux.operators import pixels as P
 from strataflux.plans import fixtures_sql as X
 from strataflux.plans.registry import query
@@ -357,3 +358,29 @@ def nearest_centroid(spark, d):
     centroids = means.groupBy(F.col("label").alias("k")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
     return P.nearest_vectors(e.select("vec_id", "label", "embedding"), centroids, "embedding", "k")
+
+
+@query("nearest_among_many", """
+with s as (select vec_id, vec_id // 3 as grp, i, cast(embedding[i] as double) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)),
+c as (select grp as k, i, cast(sum(cast(v as decimal(20,12))) as double) / count(*) as m from s group by grp, i), dist as (
+  select vec_id, k, sum((v - m) * (v - m)) as d from s join c using (i) group by vec_id, k)
+select vec_id, cast(k as bigint) as nearest from (select vec_id, k, row_number() over (partition by vec_id order by d, k) as rn from dist) where rn = 1""")
+def nearest_among_many(spark, d):
+    """Centroids of runs of three vectors: their number grows with the table, so they are cut into cells and blocks."""
+    e = T.table(spark, d, "embeddings")
+    means = e.select(F.expr("vec_id div 3").alias("k"), F.posexplode("embedding").alias("i", "v")).groupBy("k", "i").agg(
+        (F.sum(F.col("v").cast("double").cast("decimal(20,12)")).cast("double") / F.count(F.lit(1))).alias("m"))
+    centroids = means.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))  # 64 places
+    return N.nearest_by_cells(e.select("vec_id", "embedding"), centroids, "embedding", "k", pivots=32)
+
+
+@query("median_cut_pixels", X.with_(HIST) + """
+select img, cast(sum(cnt) as bigint) as pixels, count(*) as cells, least(16, count(*)) as boxes, true as boxes_part from hist group by img""")
+def median_cut_pixels(spark, d):
+    """Every cell and pixel is in exactly one box, boxes do not overlap."""
+    cut = P.median_cut(hist(spark, d), 16)
+    box = cut.groupBy("img", "box").agg(F.sum("cnt").alias("pixels"), F.count(F.lit(1)).alias("cells"), *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in ("c0", "c1", "c2")])
+    # at most 16 boxes an image
+    listed = box.groupBy("img").agg(F.sum("pixels").alias("pixels"), F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("boxes"), F.collect_list(F.struct("box", "c0", "c1", "c2")).alias("b"))
+    clash = "exists(b, p -> exists(b, q -> p.box < q.box and " + " and ".join(f"p.{c}.lo <= q.{c}.hi and q.{c}.lo <= p.{c}.hi" for c in ("c0", "c1", "c2")) + "))"
+    return listed.select("img", "pixels", "cells", "boxes", F.expr(f"not {clash}").alias("boxes_part"))
