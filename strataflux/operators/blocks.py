@@ -6,10 +6,11 @@ import heapq
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -37,6 +38,22 @@ LUMINANCE = [
     72, 92, 95, 98, 112, 100, 103, 99,
 ]
 
+# The sample chrominance quantization table, in row order.
+CHROMINANCE = [
+    17, 18, 24, 47, 99, 99, 99, 99,
+    18, 21, 26, 66, 99, 99, 99, 99,
+    24, 26, 56, 99, 99, 99, 99, 99,
+    47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99,
+]
+
+
+def component_class(comp: Column) -> Column:
+    return F.when(comp == 0, "luminance").otherwise("chrominance")
+
 
 def _lookup(values: list[int], at: Column) -> Column:
     """Entry of a short fixed list, kept as a literal in the plan."""
@@ -172,11 +189,31 @@ def block_transform(samples: DataFrame, value: str, basis: np.ndarray | None = N
 
 def quantize(df: DataFrame, table: list[int], coef: str = "coef") -> DataFrame:
     """Divide by the table entry of row-order place k, rounding half away from zero."""
-    q, c = _lookup(table, F.col("k")), F.col(coef)
+    return _divided(df, _lookup(table, F.col("k")), coef)
+
+
+def _divided(df: DataFrame, q: Column, coef: str) -> DataFrame:
+    c = F.col(coef)
     size = F.floor((F.abs(c) + F.shiftright(q, 1)) / q).cast("bigint")
     return df.withColumn(coef, F.when(c < 0, -size).otherwise(size))
 
 
+def quantize_components(df: DataFrame, luminance: list[int], chrominance: list[int], big_gamut: bool = False, coef: str = "coef") -> DataFrame:
+    """`quantize` with one table for component 0 and one for the others.
+
+    Big-gamut colour keeps the usual chroma samples and doubles the steps of their
+    coefficients instead.
+    """
+    steps = [v * (2 if big_gamut else 1) for v in chrominance]
+    table = F.when(F.col("comp") == 0, _lookup(luminance, F.col("k"))).otherwise(_lookup(steps, F.col("k")))
+    return _divided(df, table, coef)
+
+
+def dequantize_components(df: DataFrame, luminance: list[int], chrominance: list[int], coef: str = "coef") -> DataFrame:
+    """Product with the nominal tables; big-gamut chroma stays at half scale, for the doubled gains of `ycc_to_rgb`."""
+    return df.withColumn(coef, F.col(coef) * F.when(F.col("comp") == 0, _lookup(luminance, F.col("k"))).otherwise(_lookup(chrominance, F.col("k"))))
+
+
 def dequantize(df: DataFrame, table: list[int], coef: str = "coef") -> DataFrame:
     return df.withColumn(coef, F.col(coef) * _lookup(table, F.col("k")))
 
@@ -197,16 +234,74 @@ def dc_differences(df: DataFrame, blocks_per_row: int, width: int | None = WIDTH
     return done.select(*BLOCK, (F.col("coef") - F.col("_prev")).alias("diff"))
 
 
-def symbol_stats(df: DataFrame, blocks_per_row: int, width: int | None = WIDTH) -> DataFrame:
-    """`(tbl, symbol, cnt)` over the corpus: DC size categories, AC run/size codes, 0xF0 and end of block."""
-    dc = dc_differences(df, blocks_per_row, width).select(F.lit("dc").alias("tbl"), size_category(F.col("diff")).alias("symbol"), F.lit(1).cast("bigint").alias("n"))
+def symbol_stats(df: DataFrame, blocks_per_row: int, width: int | None = WIDTH, by_class: bool = False) -> DataFrame:
+    """`(tbl, symbol, cnt)` over the corpus: DC size categories, AC run/size codes, 0xF0 and end of block.
+
+    `by_class` counts luminance and chrominance apart, in a first column `cls`.
+    """
+    cls = [component_class(F.col("comp")).alias("cls")] if by_class else []
+
+    def symbols(found, tbl, symbol, n):
+        return found.select(*cls, F.lit(tbl).alias("tbl"), symbol.cast("bigint").alias("symbol"), n.cast("bigint").alias("n"))
+
     runs = zero_runs(df)
-    coded = runs.select(F.lit("ac").alias("tbl"), (F.col("run") % 16 * 16 + size_category(F.col("coef"))).alias("symbol"), F.lit(1).cast("bigint").alias("n"))
-    long_runs = runs.where("run > 15").select(F.lit("ac").alias("tbl"), F.lit(240).cast("bigint").alias("symbol"), F.expr("run div 16").alias("n"))
-    ends = df.groupBy(*BLOCK).agg(F.max(F.when(F.expr("k > 0 and coef <> 0"), F.col("k"))).alias("last")).where(
-        "last is null or last < 63").select(F.lit("ac").alias("tbl"), F.lit(0).cast("bigint").alias("symbol"), F.lit(1).cast("bigint").alias("n"))
-    every = dc.unionByName(coded).unionByName(long_runs).unionByName(ends)
-    return every.groupBy("tbl", "symbol").agg(F.sum("n").alias("cnt"))
+    last = df.groupBy(*BLOCK).agg(F.max(F.when(F.expr("k > 0 and coef <> 0"), F.col("k"))).alias("last"))
+    every = [
+        symbols(dc_differences(df, blocks_per_row, width), "dc", size_category(F.col("diff")), F.lit(1)),
+        symbols(runs, "ac", F.col("run") % 16 * 16 + size_category(F.col("coef")), F.lit(1)),
+        symbols(runs.where("run > 15"), "ac", F.lit(240), F.expr("run div 16")),
+        symbols(last.where("last is null or last < 63"), "ac", F.lit(0), F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, every).groupBy(*["cls"] * by_class, "tbl", "symbol").agg(F.sum("n").alias("cnt"))
+
+
+# The default code tables. Codes of 1 to 16 bits, then symbols in code order;
+# AC symbols that are not named (run 0-15, size 1-10, 00 and F0 exist) follow in rising order.
+DEFAULT_CODES = {
+    ("luminance", "dc"): ("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    ("chrominance", "dc"): ("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    ("luminance", "ac"): ("0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125", """
+        01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08
+        23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"""),
+    ("chrominance", "ac"): ("0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119", """
+        00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91
+        a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"""),
+}
+
+
+def default_lengths(cls: str, tbl: str) -> dict[int, int]:
+    """Code length of every symbol of a default table."""
+    counts, named = DEFAULT_CODES[cls, tbl]
+    order = [int(s, 16) for s in named.split()]
+    if tbl == "ac":
+        every = {0x00, 0xF0} | {run * 16 + size for run in range(16) for size in range(1, 11)}
+        order += sorted(every - set(order))
+    lengths = [n + 1 for n, count in enumerate(counts.split()) for _ in range(int(count))]
+    return dict(zip(order, lengths, strict=True))
+
+
+def default_code_lengths(spark: SparkSession) -> DataFrame:
+    """`(cls, tbl, symbol, len)` of the four default tables, 348 rows."""
+    rows = [(*key, symbol, n) for key in DEFAULT_CODES for symbol, n in default_lengths(*key).items()]
+    return spark.createDataFrame(rows, "cls string, tbl string, symbol bigint, len bigint")
+
+
+def default_cost(symbols: DataFrame) -> DataFrame:
+    """Bits of each class and table with the default codes against the best codes for these counts.
+
+    `symbols` counts by class. `uncoded` counts occurrences of symbols without a default
+    code (sizes that 8-bit samples do not reach); both sums leave them out.
+    """
+    def price(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows[rows["len"].notna()]
+        best = _lengths(dict(zip(known["symbol"].tolist(), known["cnt"].tolist()))) if len(known) else {}
+        sums = (known["cnt"] * known["len"]).sum(), (known["cnt"] * known["symbol"].map(best)).sum(), rows.loc[rows["len"].isna(), "cnt"].sum()
+        return pd.DataFrame([(rows["cls"].iloc[0], rows["tbl"].iloc[0], *map(int, sums))], columns=["cls", "tbl", "default_bits", "optimal_bits", "uncoded"])
+
+    lengths = F.broadcast(default_code_lengths(symbols.sparkSession))  # 348 rows
+    # a table brings at most 256 rows
+    return symbols.join(lengths, ["cls", "tbl", "symbol"], "left").groupBy("cls", "tbl").applyInPandas(
+        price, "cls string, tbl string, default_bits bigint, optimal_bits bigint, uncoded bigint")
 
 
 LONGEST = 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataflux.functions import media
@@ -111,6 +112,16 @@ def block_dequantize(spark, d):
     return B.dequantize(coefs(spark, d), B.LUMINANCE)
 
 
+# entries from the fifth row on are all 99
+_BY_COMPONENT = """, q as (select *, case when comp = 0 then [{lum}][k + 1] else {gain} * coalesce([17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99,
+  24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99][k + 1], 99) end as t, coef * 37 as c from coefs)
+select img, comp, by_ as "by", bx, k, case when c < 0 then -((-c + t // 2) // t) else (c + t // 2) // t end as coef from q"""
+
+for _name, _gain in (("block_quantize_components", 1), ("block_quantize_big_gamut", 2)):
+    query(_name, X.with_(X.COEFS) + _BY_COMPONENT.format(lum=_TABLE, gain=_gain))(lambda spark, d, _g=_gain: B.quantize_components(
+        coefs(spark, d).withColumn("coef", F.col("coef") * 37), B.LUMINANCE, B.CHROMINANCE, big_gamut=_g == 2))
+
+
 @query("zero_runs", X.with_(X.COEFS) + """
 select img, comp, by_ as "by", bx, k, coef, k - coalesce(lag(k) over (partition by img, comp, by_, bx order by k), 0) - 1 as run
 from coefs where k > 0 and coef <> 0""")
@@ -153,6 +164,47 @@ def coding_cost(spark, d):
     return B.coding_cost(counted, B.code_lengths(counted))
 
 
+# the default tables as the standard prints them: codes per length, symbols in code order, the rest rising
+_DEFAULTS = """given(cls, tbl, counts, named) as (values
+  ('luminance', 'dc', [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),
+  ('chrominance', 'dc', [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),
+  ('luminance', 'ac', [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+    [1, 2, 3, 0, 4, 17, 5, 18, 33, 49, 65, 6, 19, 81, 97, 7, 34, 113, 20, 50, 129, 145, 161, 8, 35, 66, 177, 193, 21, 82, 209, 240, 36, 51, 98, 114, 130]),
+  ('chrominance', 'ac', [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+    [0, 1, 2, 3, 17, 4, 5, 33, 49, 6, 18, 65, 81, 7, 97, 113, 19, 34, 50, 129, 8, 20, 66, 145, 161, 177, 193, 9, 35, 51, 82, 240, 21, 98, 114, 209, 10, 22, 36, 52, 225, 37, 241])),
+universe as (select 'ac' as tbl, r * 16 + s as symbol from (select unnest(range(0, 16)) as r), (select unnest(range(1, 11)) as s)
+  union all select 'ac', unnest([0, 240]) union all select 'dc', unnest(range(0, 12))),
+placed as (select cls, tbl, symbol, counts, row_number() over (partition by cls, tbl order by coalesce(list_position(named, symbol), 1000 + symbol)) as place from given join universe using (tbl)),
+lens as (select cls, tbl, symbol, 1 + len(list_filter(range(1, 17), lambda l: list_sum(counts[1:l]) < place)) as len from placed)"""
+_BY_CLASS = _SYMBOLS.replace("select coef - coalesce", "select comp, coef - coalesce").replace("select 'dc' as tbl,", "select comp, 'dc' as tbl,").replace(
+    "select 'ac',", "select comp, 'ac',").replace("from (select max(case", "from (select comp, max(case").replace(
+    "select tbl, cast(symbol", "select case when comp = 0 then 'luminance' else 'chrominance' end as cls, tbl, cast(symbol").replace("group by tbl, symbol", "group by all")
+
+
+@query("symbol_stats_by_class", X.with_(_BY_CLASS) + "select * from stats")
+def symbol_stats_by_class(spark, d):
+    return B.symbol_stats(coefs(spark, d), 16, by_class=True)
+
+
+@query("default_coding_cost", X.with_(_BY_CLASS, _DEFAULTS) + """
+select cls, tbl, cast(coalesce(sum(cnt * len), 0) as bigint) as default_bits, true as optimal_is_no_longer, cast(sum(case when len is null then cnt else 0 end) as bigint) as uncoded
+from stats left join lens using (cls, tbl, symbol) group by cls, tbl""")
+def default_coding_cost(spark, d):
+    cost = B.default_cost(B.symbol_stats(coefs(spark, d), 16, by_class=True))
+    return cost.select("cls", "tbl", "default_bits", (F.col("optimal_bits") <= F.col("default_bits")).alias("optimal_is_no_longer"), "uncoded")
+
+
+@query("code_lengths_kraft", X.with_(_SYMBOLS) + """
+select tbl, count(*) as symbols, true as fits_16_bits, true as leaves_one_code, true as rarer_is_no_shorter from stats group by tbl""")
+def code_lengths_kraft(spark, d):
+    counted = symbols(spark, d)
+    order = Window.partitionBy("tbl").orderBy(F.desc("cnt"), "len")  # a table has at most 256 symbols
+    coded = counted.join(B.code_lengths(counted), ["tbl", "symbol"]).withColumn("before", F.lag("len").over(order)).withColumn("cnt_before", F.lag("cnt").over(order))
+    return coded.groupBy("tbl").agg(
+        F.count(F.lit(1)).alias("symbols"), (F.max("len") <= 16).alias("fits_16_bits"), (F.sum(F.expr("shiftleft(1, cast(16 - len as int))")) < 65536).alias("leaves_one_code"),
+        F.coalesce(F.bool_and(F.expr("before is null or cnt_before = cnt or before <= len")), F.lit(True)).alias("rarer_is_no_shorter"))
+
+
 @query("dc_predictors", X.with_(X.COEFS) + """
 select img, comp, by_ as "by", bx, coef - coalesce(lag(coef) over (partition by img, comp order by by_ * 16 + bx), 0) as diff from coefs where k = 0""")
 def dc_predictors(spark, d):
