@@ -104,6 +104,24 @@ def marker_summary(spark, d):
     return N.marker_summary(image_markers(spark, d))
 
 
+@query("marker_fields", """
+with p as (select cast(p_partkey as varchar) as path, p_size, p_partkey, cast(2 + 6 as bigint) as dqt from part), f as (
+select path, cast(221 as bigint) as marker, cast(2 as bigint) as at, 'interval' as field, cast(p_partkey % 65536 as bigint) as value, null::varchar as error from p
+union all select path, 219, dqt, unnest(['bytes1', 'sum1', 'tables']), unnest([1, 64 * (p_size % 256), 1]), null from p where p_size % 7 <> 0
+union all select path, 219, dqt, null, null, 'short quantization table' from p where p_size % 7 = 0
+union all select path, 192 + p_partkey % 4, case when p_size % 7 = 0 then dqt + 2 + 2 + 2 else dqt + 2 + 2 + 65 end,
+  unnest(['precision', 'height', 'width', 'components', 'h0', 'v0', 'table0']), unnest([8, p_size * 6, p_size * 8, 1, 1 + p_partkey % 4, 1 + p_size % 4, 1]), null from p)
+select * from f""")
+def marker_fields(spark, d):
+    """Restart interval, one quantization table (cut off in some files) and a frame, each read by its handler; the comment has none."""
+    table_body = "if(p_size % 7 = 0, concat('FFDB0004', '0105'), concat('FFDB0043', '01', repeat(lpad(hex(p_size % 256), 2, '0'), 64)))"
+    files = _content(
+        table(spark, d, "part"), "cast(p_partkey as string)", "'FFD8FFDD0004'", h("p_partkey % 65536", 4), table_body,
+        "concat('FF', hex(192 + p_partkey % 4), '000B08')", h("p_size * 6", 4), h("p_size * 8", 4), "'0101'",
+        "concat(hex(1 + p_partkey % 4), hex(1 + p_size % 4))", "'01'", "'FFFE0004AABB'", "'FFDA0004'")
+    return N.process_markers(files)
+
+
 def _system_stream(spark, d):
     """Pack, header declaring two ids, padding, a packet with a false code in its payload, end code; junk first."""
     ticks = "(event_id * 1000003 % 8589934592)"

@@ -153,8 +153,8 @@ _MARKER_SCHEMA = ("path string, marker bigint, at bigint, process string, width
                   "components bigint, precision bigint, note binary")
 
 
-def _walk_markers(path, content):
-    """Marker segments before the first scan; a file that does not begin with one gives nothing."""
+def _segments(content):
+    """(marker, offset of its 0xFF byte, body) before the first scan; a file that does not begin with the start marker gives nothing."""
     if content[:2] != bytes([0xFF, START]):
         return
     at = 2
@@ -167,17 +167,25 @@ def _walk_markers(path, content):
         if at >= len(content) or content[at] in (SCAN, END):
             return
         marker, size = content[at], int.from_bytes(content[at + 1:at + 3], "big")
-        body = content[at + 3:at + 1 + size]
         if size < 2:
             return
-        frame = (None,) * 5
-        if marker in PROCESS and len(body) >= 6:
-            precision, height, width, parts = struct.unpack(">BHHB", body[:6])
-            frame = (PROCESS[marker], width, height, parts, precision)
-        yield (path, marker, at - 1, *frame, body if marker in (COMMENT, APP12) else None)
+        yield marker, at - 1, content[at + 3:at + 1 + size]
         at += 1 + size
 
 
+def _frame(marker, body):
+    """Process, width, height, components and precision of a frame header; nulls for other markers."""
+    if marker not in PROCESS or len(body) < 6:
+        return (None,) * 5
+    precision, height, width, parts = struct.unpack(">BHHB", body[:6])
+    return PROCESS[marker], width, height, parts, precision
+
+
+def _walk_markers(path, content):
+    for marker, at, body in _segments(content):
+        yield (path, marker, at, *_frame(marker, body), body if marker in (COMMENT, APP12) else None)
+
+
 def image_markers(df: DataFrame) -> DataFrame:
     """One row per marker segment up to the start of the scan; comments as printable text."""
     names = [c.split()[0] for c in _MARKER_SCHEMA.split(", ")]
@@ -194,6 +202,74 @@ def image_markers(df: DataFrame) -> DataFrame:
     return found.withColumn("note", printable(F.decode("note", "ISO-8859-1")))
 
 
+def frame_fields(body: bytes):
+    """Fields of a frame header, with the sampling factors and table of each component."""
+    if len(body) < 6:
+        raise ValueError("short frame header")
+    precision, height, width, parts = struct.unpack(">BHHB", body[:6])
+    yield from (("precision", precision), ("height", height), ("width", width), ("components", parts))
+    if len(body) < 6 + 3 * parts:
+        raise ValueError("short frame header")
+    for i in range(parts):
+        _, factors, table = body[6 + 3 * i:9 + 3 * i]
+        yield from ((f"h{i}", factors >> 4), (f"v{i}", factors & 15), (f"table{i}", table))
+
+
+def restart_fields(body: bytes):
+    if len(body) != 2:
+        raise ValueError("wrong length of a restart interval")
+    yield "interval", int.from_bytes(body, "big")
+
+
+def table_fields(body: bytes):
+    """Number of quantization tables, and for each its width in bytes and the sum of its entries."""
+    at, n = 0, 0
+    while at < len(body):
+        wide, ident = body[at] >> 4, body[at] & 15
+        size = 64 * (1 + (wide > 0))
+        entries = body[at + 1:at + 1 + size]
+        if len(entries) < size:
+            raise ValueError("short quantization table")
+        step = size // 64
+        yield from ((f"bytes{ident}", step), (f"sum{ident}", sum(int.from_bytes(entries[i:i + step], "big") for i in range(0, size, step))))
+        at, n = at + 1 + size, n + 1
+    yield "tables", n
+
+
+# Handlers by marker code; another set is given to `marker_processor`.
+HANDLERS = {**dict.fromkeys(PROCESS, frame_fields), 0xDB: table_fields, 0xDD: restart_fields}
+
+
+def marker_processor(handlers=None):
+    """A table function of one binary value: `(marker, at, field, value, error)` rows from the handler of each marker code.
+
+    A handler takes the body of a segment and yields (name, whole number). A body
+    it refuses with ValueError gives one row with the reason, after the fields it
+    had read; markers without a handler give nothing. Null and empty content give
+    no rows. Arrow table functions cannot stand in a lateral join, so this is a
+    plain one; it is called once for a file.
+    """
+    chosen = dict(HANDLERS if handlers is None else handlers)
+
+    class Processor:
+        def eval(self, content):
+            for marker, at, body in _segments(bytes(content or b"")):
+                if marker in chosen:
+                    try:
+                        for field, value in chosen[marker](body):
+                            yield marker, at, field, value, None
+                    except ValueError as problem:
+                        yield marker, at, None, None, str(problem)
+
+    return F.udtf(Processor, returnType="marker bigint, at bigint, field string, value bigint, error string", useArrow=False)
+
+
+def process_markers(df: DataFrame, handlers=None) -> DataFrame:
+    """`(path, marker, at, field, value, error)` by a lateral call of `marker_processor`."""
+    files = df.select("path", "content")
+    return files.lateralJoin(marker_processor(handlers)(F.col("content").outer())).select("path", "marker", "at", "field", "value", "error")
+
+
 def marker_summary(markers: DataFrame) -> DataFrame:
     """Images per process with the largest size."""
     return markers.where("process is not null").groupBy("process", "components", "precision").agg(

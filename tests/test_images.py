@@ -260,3 +260,43 @@ def test_hex_records(spark):
         if fmt == "intel":
             for line in lines[:-1]:
                 assert sum(bytes.fromhex(line[1:])) & 255 == 0
+
+
+def test_default_tables():
+    for (cls, tbl), (counts, _) in B.DEFAULT_CODES.items():
+        lengths = B.default_lengths(cls, tbl)
+        assert len(lengths) == (12 if tbl == "dc" else 162)
+        assert [list(lengths.values()).count(n) for n in range(1, 17)] == [int(c) for c in counts.split()]
+        assert sum(2 ** (16 - n) for n in lengths.values()) < 2**16  # the code of ones stays free
+    assert B.default_lengths("luminance", "ac")[0x01] == 2 and B.default_lengths("luminance", "ac")[0xF0] == 11
+    assert B.default_lengths("chrominance", "ac")[0x00] == 2 and B.default_lengths("chrominance", "dc")[0x0B] == 11
+
+
+def test_default_cost(spark):
+    counts = [("luminance", "dc", 0, 10), ("luminance", "dc", 1, 5), ("luminance", "dc", 13, 4), ("chrominance", "ac", 0, 7)]
+    got = {(r.cls, r.tbl): (r.default_bits, r.optimal_bits, r.uncoded) for r in B.default_cost(spark.createDataFrame(counts, "cls string, tbl string, symbol long, cnt long")).collect()}
+    assert got == {("luminance", "dc"): (10 * 2 + 5 * 3, 10 * 1 + 5 * 2, 4), ("chrominance", "ac"): (14, 7, 0)}
+
+
+def test_quantize_by_component(spark):
+    rows = [(0, c, 0, 0, k, v) for c in (0, 1, 2) for k, v in ((0, 100), (1, -100), (63, 149), (63, -148))]
+    df = spark.createDataFrame(rows, "img long, comp long, by long, bx long, k long, coef long")
+    got = sorted((r.comp, r.k, r.coef) for r in B.quantize_components(df, B.LUMINANCE, B.CHROMINANCE).collect())
+    half = lambda v, t: (abs(v) + t // 2) // t * (1 if v >= 0 else -1)
+    assert got == sorted((c, k, half(v, (B.LUMINANCE if c == 0 else B.CHROMINANCE)[k])) for _, c, _, _, k, v in rows)
+    wide = sorted((r.comp, r.k, r.coef) for r in B.quantize_components(df, B.LUMINANCE, B.CHROMINANCE, big_gamut=True).collect())
+    assert wide == sorted((c, k, half(v, B.LUMINANCE[k] if c == 0 else 2 * B.CHROMINANCE[k])) for _, c, _, _, k, v in rows)
+
+
+def test_marker_processors(spark):
+    start, scan = b"\xff\xd8", b"\xff\xda\x00\x04"
+    files = [("a", start + b"\xff\xdd\x00\x04\x01\x02" + scan), ("b", start + b"\xff\xdd\x00\x05\x01\x02\x03" + b"\xff\xfe\x00\x04hi" + scan), ("c", None), ("d", b""), ("e", b"no image"),
+             ("f", start + b"\xff\xc0\x00\x08\x08\x00\x10\x00\x20\x03" + scan)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    got = [tuple(r)[:1] + tuple(r)[1:] for r in N.process_markers(df).orderBy("path").collect()]
+    assert [g for g in got if g[0] == "a"] == [("a", 0xDD, 2, "interval", 258, None)]
+    assert [g for g in got if g[0] == "b"] == [("b", 0xDD, 2, None, None, "wrong length of a restart interval")]
+    assert {g[0] for g in got} == {"a", "b", "f"}
+    assert ("f", 0xC0, 2, "width", 32, None) in got and ("f", 0xC0, 2, None, None, "short frame header") in got
+    own = N.process_markers(df, {0xFE: lambda body: [("length", len(body))]}).collect()
+    assert [tuple(r) for r in own] == [("b", 0xFE, 9, "length", 2, None)]
