@@ -40,6 +40,7 @@ ftwotox 1 bwlsdxp n
 fsincos 1 bwlsdxp n
 ftst 1 bwlsdxp n
 fadd 2 bwlsdxp y rounded
+fcmp 2 bwlsdxp n
 fdiv 2 bwlsdxp y rounded
 fmod 2 bwlsdxp y
 fmul 2 bwlsdxp y rounded
@@ -151,6 +152,16 @@ def operand_cardinality(df: DataFrame, suite: str, operands: list[str], approxim
     return df.groupBy(suite).agg(*[count(c).alias(f"n_{c}") for c in operands])
 
 
+def operand_sketches(df: DataFrame, by: list[str], operands: list[str], precision: int = 14) -> DataFrame:
+    """A sketch of the distinct values of each operand per group, about 2 ** precision bytes however many rows; nulls are not counted."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(precision)).alias(f"sketch_{c}") for c in operands])
+
+
+def merged_cardinality(sketches: DataFrame, by: list[str], operands: list[str]) -> DataFrame:
+    """Estimated distinct values for coarser groups, by union of their sketches: no value is read again."""
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{c}")).alias(f"n_{c}") for c in operands])
+
+
 def worst(verdicts: DataFrame, n: int, diff: str, ties: list[str]) -> DataFrame:
     """The n largest differences, ranked; the cut is a distributed top-n, the ranks see n rows."""
     top = verdicts.orderBy(F.desc(diff), *ties).limit(n)

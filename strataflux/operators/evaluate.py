@@ -1,7 +1,8 @@
 """Run bound vectors with DOUBLE arithmetic and compare with their expectations.
 
 DOUBLE carries 53 bits. A vector whose operands, mode or exact result need more
-gets the verdict `not_representable` instead of a false pass or failure.
+gets the verdict `not_representable` instead of a false pass or failure, whatever
+its result is.
 """
 
 from __future__ import annotations
@@ -10,16 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflux.functions import conditions, fbits, ieee
-from strataflux.operators.conformance import check_results
+from strataflux.operators.conformance import check_results, count_ok
 from strataflux.operators.scan import hold
 
 _PLAIN = [n for n in ieee.MONADIC if n not in ("fint", "fintrz")]
+TESTS = ("ftst", "fcmp")  # set codes only
+MODE_FREE = ("fint", "fintrz", "fabs", "fneg", "fmod", "frem", "fgetexp", "fgetman", *TESTS)
+CODES = ("n", "z", "i", "nan")
+# Flags that follow from operands, result and enabled exceptions of any operation.
+DERIVED = (*CODES, "bsun", "snan", "operr", "dz", "aiop", "adz")
+DIVISIONS = ("fdiv", "fsdiv", "fddiv", "fsgldiv")
 
 
 def _result(op: Column, mode: Column, x: Column, y: Column) -> Column:
     out = F.when(op == "fintrz", ieee.fintrz(x))
     for m in ("rn", "rz", "rm", "rp"):
         out = out.when((op == "fint") & (mode == m), ieee.fint(x, m))
+    out = out.when(op == "fsincos", ieee.fcos(x))
     for name in _PLAIN:
         out = out.when(op == name, ieee.MONADIC[name](x))
     # the first operand is the one operated on: fsub a b is a - b
@@ -35,39 +43,103 @@ def _low_bits_clear(digits: Column) -> Column:
     return low & ((exp == 0) & (F.substring(digits, 9, 16) == "0" * 16) | exp.between(16383 - 1022, 16383 + 1023) | (exp == 32767))
 
 
+def _field(digits: Column, first: int, count: int, mask: int) -> Column:
+    return F.conv(F.substring(digits, first, count), 16, 10).cast("int").bitwiseAND(mask)
+
+
+def signals(digits: Column, size: Column) -> Column:
+    """Whether a constant is a signalling NaN: full exponent, top fraction bit clear, other fraction bits not."""
+    def nan(exponent, quiet, fraction):
+        return exponent & ~quiet & fraction
+    single = nan(_field(digits, 17, 3, 0x7F8) == 0x7F8, _field(digits, 19, 1, 4) > 0, (_field(digits, 19, 1, 7) > 0) | (F.substring(digits, 20, 5) != "0" * 5))
+    double = nan(_field(digits, 9, 3, 0x7FF) == 0x7FF, _field(digits, 12, 1, 8) > 0, F.substring(digits, 12, 13) != "0" * 13)
+    extended = nan(_field(digits, 1, 4, 0x7FFF) == 0x7FFF, _field(digits, 9, 1, 4) > 0, (_field(digits, 9, 1, 7) > 0) | (F.substring(digits, 10, 15) != "0" * 15))
+    return F.coalesce(F.when(size == "s", single).when(size == "d", double).when(size == "x", extended), F.lit(False))
+
+
+def branch_flags(op: Column, codes: Column, enables: Column) -> Column:
+    """Flags after a conditional branch: a map with `taken`, the codes and what an unordered comparison raises.
+
+    A signalling predicate on an unordered code raises BSUN. Where that is
+    enabled it traps, and the branch is then decided without the unordered code.
+    """
+    has = {c: F.array_contains(codes, c) for c in CODES}
+    signalling = F.substring(op, 3, 9).isin(*conditions.SIGNALLING)
+    bsun = has["nan"] & signalling
+    trap = bsun & F.array_contains(enables, "bsun")
+    nan = has["nan"] & ~trap
+    taken = F.lit(None).cast("boolean")
+    for p in conditions.PREDICATES:
+        taken = F.when(op == "fb" + p, conditions.branch(p, has["n"], has["z"], nan).getField("taken")).otherwise(taken)
+    got = {"taken": taken, "n": has["n"], "z": has["z"], "i": has["i"], "nan": nan, "bsun": bsun, "aiop": bsun, "tbsun": trap, "sigfpe": trap}
+    return F.create_map(*[x for k, v in got.items() for x in (F.lit(k), v)])
+
+
+def _operand_flags(op: Column, x: Column, y: Column, two: Column, result: Column, snan: Column) -> Column:
+    """Map of the DERIVED flags that are not condition codes; they follow from operands and result."""
+    zero_divisor = op.isin(*DIVISIONS) & (y == 0) & (x != 0) & ~ieee.isinf(x)
+    poles = (op.isin("flogn", "flog2", "flog10") & (x == 0)) | ((op == "flognp1") & (x == -1)) | ((op == "fatanh") & (F.abs(x) == 1))
+    dz = F.coalesce((zero_divisor | poles) & ~F.isnan(x), F.lit(False))
+    born = F.isnan(result) & ~F.isnan(x) & ~(two & F.isnan(F.coalesce(y, F.lit(0.0))))
+    operr = F.coalesce(born & ~op.isin(*TESTS), F.lit(False))
+    got = {"bsun": F.lit(False), "snan": snan, "operr": operr, "dz": dz, "aiop": snan | operr, "adz": dz}
+    return F.create_map(*[v for k, f in got.items() for v in (F.lit(k), f)])
+
+
 def run_vectors(bound: DataFrame) -> DataFrame:
     """One row per bound vector with `act1`, `ulps`, `tol`, `failed` and `verdict`.
 
-    `failed` lists the condition codes (n, z, i, nan) that differ from the
-    expectation. A vector that is not run (branches, two results, tests, moves
-    out, no operand or no expectation) is `not_judged`. So is one whose result
-    and codes are right but which expects more than they: other flags, a
-    quotient byte, a second result. An unchecked expectation never reads as ok.
+    `failed` lists the flags that differ from the expectation, those that should
+    be clear with a leading `~`, then `qbyte` for the quotient byte (0 but for
+    fmod and frem) and `result2` for the sine of fsincos, whose first result is
+    the cosine. Condition codes, BSUN, SNAN, OPERR, DZ and their accrued forms are
+    derived; branches are judged by all their flags. `ftst` and `fcmp` have
+    flags only, so no `act1`.
+
+    A vector that is not run (moves out, no operand or no expectation) is
+    `not_judged`. So is one whose checked parts are right but which expects
+    more: overflow, inexact and trap flags. An unchecked expectation never reads
+    as ok. What DOUBLE cannot hold is `not_representable`, right or wrong.
     """
-    two = F.col("arity") == 2
-    runs = F.coalesce(F.expr("""has_expect and in1 is not null and exp1 is not null and not moves_out
-        and (arity = 1 or arity = 2 and in2 is not null) and op not in ('fsincos', 'ftst')"""), F.lit(False))
-    more = F.exists(F.map_keys("exp_flags"), lambda k: ~k.isin("n", "z", "i", "nan")) | F.col("qbyte").isNotNull() | F.col("exp2").isNotNull()
+    two, branches, tests = F.col("arity") == 2, F.col("arity") == 0, F.col("op").isin(*TESTS)
+    runs = F.coalesce(F.expr("""has_expect and not moves_out and (arity = 0 or in1 is not null and (arity = 1 or in2 is not null)
+        and (op in ('ftst', 'fcmp') or exp1 is not null) and (op <> 'fsincos' or exp2 is not null))"""), F.lit(False))
+    more = F.exists(F.map_keys("exp_flags"), lambda k: ~k.isin(*DERIVED)) | F.col("exp2").isNotNull() & (F.col("op") != "fsincos")
     named = bound.select(
-        "suite", "line_no", "op", "rmode", "prec", "exact", "exp_flags", runs.alias("_runs"), F.coalesce(more, F.lit(False)).alias("_more"),
-        F.lower(F.hex("in1")).alias("_h1"), F.lower(F.hex("in2")).alias("_h2"), F.lower(F.hex("exp1")).alias("exp1"),
-        F.when(F.col("in1_from").isNotNull(), F.col("in1_from")).when(two, "x").otherwise(F.col("size")).alias("_s1"), F.col("size").alias("_s2"), two.alias("_two"))
+        "suite", "line_no", "op", "rmode", "prec", "exact", "exp_flags", "codes", "enables", "qbyte", runs.alias("_runs"), (~branches & F.coalesce(more, F.lit(False))).alias("_more"),
+        F.lower(F.hex("in1")).alias("_h1"), F.lower(F.hex("in2")).alias("_h2"), F.lower(F.hex("exp1")).alias("exp1"), F.lower(F.hex("exp2")).alias("_exp2"),
+        F.when(F.col("in1_from").isNotNull(), F.col("in1_from")).when(two, "x").otherwise(F.col("size")).alias("_s1"), F.col("size").alias("_s2"),
+        two.alias("_two"), branches.alias("_branch"), tests.alias("_test"))
     values = hold(named, _x=fbits.value(F.col("_h1"), F.col("_s1")), _y=fbits.value(F.col("_h2"), F.col("_s2")))
+    op, x, y = F.col("op"), F.col("_x"), F.col("_y")
     exact_in = F.when(F.col("_s1") == "x", _low_bits_clear(F.col("_h1"))).otherwise(F.col("_s1") != "p") & F.when(
         F.col("_two") & (F.col("_s2") == "x"), _low_bits_clear(F.col("_h2"))).otherwise(~(F.col("_two") & (F.col("_s2") == "p")))
-    rounded = (F.col("rmode") != "rn") & ~F.col("op").isin("fint", "fintrz", "fabs", "fneg")
-    done = hold(values, _unfit=~exact_in | rounded, _r=_result(F.col("op"), F.col("rmode"), F.col("_x"), F.col("_y")))
-    hexed = hold(done, act1=fbits.extended_digits(F.col("_r"))).withColumn("size", F.lit("x"))
-    codes = conditions.ftst(F.col("_r"))
-    judged = check_results(hexed).withColumn("failed", F.concat(*[
-        F.when(F.element_at("exp_flags", c) != codes.getField(c), F.array(
-            F.when(F.element_at("exp_flags", c), c).otherwise("~" + c))).otherwise(F.array().cast("array<string>"))
-        for c in ("n", "z", "i", "nan")]))
-    wrong = (F.col("verdict") == "mismatch") | (F.size("failed") > 0)
+    rounded = (F.col("rmode") != "rn") & ~op.isin(*MODE_FREE)
     # an exact operation whose full result has more than 53 bits cannot be judged
-    too_fine = F.col("exact") & ~_low_bits_clear(F.col("exp1"))
-    shown = [F.when(F.col("_runs"), F.col(c)).alias(c) for c in ("act1", "ulps", "tol", "failed")]
-    return judged.select(
-        "suite", "line_no", "op", "exp1", *shown,
-        F.when(~F.col("_runs"), "not_judged").when(wrong & (F.col("_unfit") | too_fine), "not_representable").when(wrong, "mismatch")
-        .when(F.col("_more"), "not_judged").otherwise("ok").alias("verdict"))
+    too_fine = F.coalesce(F.col("exact") & ~_low_bits_clear(F.col("exp1")), F.lit(False))
+    unfit = ~F.col("_branch") & (~exact_in | rounded | too_fine & ~F.col("_test"))
+    done = hold(values, _unfit=F.coalesce(unfit, F.lit(False)), _r=_result(op, F.col("rmode"), x, y), _sine=F.when(op == "fsincos", ieee.fsin(x)))
+    hexed = hold(done, act1=fbits.extended_digits(F.col("_r")), _act2=fbits.extended_digits(F.col("_sine"))).withColumn("size", F.lit("x"))
+    seen, compared = conditions.ftst(F.when(op == "ftst", x).otherwise(F.coalesce("_sine", "_r"))), conditions.fcmp(x, y)
+    codes = F.create_map(*[v for c in CODES for v in (F.lit(c), F.when(op == "fcmp", compared.getField(c) if c != "i" else F.lit(False)).otherwise(seen.getField(c)))])
+    snan = signals(F.col("_h1"), F.col("_s1")) | F.col("_two") & signals(F.col("_h2"), F.col("_s2"))
+    plain = F.map_concat(codes, _operand_flags(op, x, y, F.col("_two"), F.col("_r"), snan))
+    judged = hold(check_results(hexed), _got=F.when(F.col("_branch"), branch_flags(op, F.col("codes"), F.col("enables"))).otherwise(plain))
+    checked = F.filter(F.map_entries("exp_flags"), lambda e: F.col("_branch") | e["key"].isin(*DERIVED))
+    failed = F.transform(
+        F.filter(checked, lambda e: e["value"] != F.coalesce(F.element_at("_got", e["key"]), F.lit(False))),
+        lambda e: F.when(e["value"], e["key"]).otherwise(F.concat(F.lit("~"), e["key"])))
+    none = F.array().cast("array<string>")
+    byte = F.when(op.isin("fmod", "frem"), ieee.fquotient(x, y)).otherwise(0)
+    wrong_byte = F.when(~F.coalesce(count_ok(F.col("qbyte"), byte), F.lit(True)), F.array(F.lit("qbyte"))).otherwise(none)
+    second = fbits.ulp_diff(F.col("_exp2"), F.col("_act2"), F.col("size"), F.col("prec")) > F.col("tol")
+    wrong_sine = F.when((op == "fsincos") & second, F.array(F.lit("result2"))).otherwise(none)
+    listed = judged.withColumn("failed", F.concat(failed, wrong_byte, wrong_sine))
+    wrong = ((F.col("verdict") == "mismatch") & ~F.col("_branch") & ~F.col("_test")) | (F.size("failed") > 0)
+    # no quotient byte without a quotient
+    unknown = F.col("_more") | F.col("qbyte").isNotNull() & byte.isNull()
+    valued = F.col("_runs") & ~F.col("_branch") & ~F.col("_test")
+    return listed.select(
+        "suite", "line_no", "op", "exp1", *[F.when(valued, F.col(c)).alias(c) for c in ("act1", "ulps", "tol")], F.when(F.col("_runs"), F.col("failed")).alias("failed"),
+        F.when(~F.col("_runs"), "not_judged").when(F.col("_unfit"), "not_representable").when(wrong, "mismatch")
+        .when(unknown, "not_judged").otherwise("ok").alias("verdict"))

@@ -14,7 +14,7 @@ ENABLES = ("bsun", "snan", "operr", "ovfl", "unfl", "dz", "inex2", "inex1")
 MONADIC = ("fabs fsabs fdabs facos fasin fatan fatanh fcos fcosh fetox fetoxm1 fgetexp fgetman fint fintrz flog10 "
            "flog2 flogn flognp1 fmove fsmove fdmove fneg fsneg fdneg fsin fsinh fsqrt fssqrt fdsqrt ftan ftanh "
            "ftentox ftwotox fsincos ftst").split()
-DYADIC = ("fadd fsadd fdadd fdiv fsdiv fddiv fmod fmul fsmul fdmul frem fscale fsub fssub fdsub fsglmul fsgldiv").split()
+DYADIC = ("fadd fsadd fdadd fcmp fdiv fsdiv fddiv fmod fmul fsmul fdmul frem fscale fsub fssub fdsub fsglmul fsgldiv").split()
 
 
 def word(row_id: Column, seed: int, salt: str) -> Column:

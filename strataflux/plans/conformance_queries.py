@@ -86,6 +86,17 @@ def operand_cardinality_approx(spark, d):
     return C.operand_cardinality(df, "suite", ["l_extendedprice", "l_quantity"], approximate=True)
 
 
+@query("operand_sketches", """
+select l_returnflag as suite, count(distinct l_extendedprice) as n_l_extendedprice, count(distinct l_partkey) as n_l_partkey, true as within_5_percent
+from lineitem group by l_returnflag""")
+def operand_sketches(spark, d):
+    """Sketches per suite and line number, merged to suites, against the exact counts."""
+    df, operands = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "suite"), ["l_extendedprice", "l_partkey"]
+    merged = C.merged_cardinality(C.operand_sketches(df, ["suite", "l_linenumber"], operands), ["suite"], operands).select("suite", *[F.col(f"n_{c}").alias(f"_{c}") for c in operands])
+    near = [F.abs(F.col(f"_{c}") - F.col(f"n_{c}")) <= 0.05 * F.col(f"n_{c}") for c in operands]
+    return C.operand_cardinality(df, "suite", operands).join(merged, "suite").select("suite", *[f"n_{c}" for c in operands], (near[0] & near[1]).alias("within_5_percent"))
+
+
 _OPS = ("fadd", "fsadd", "facos", "fbge", "fsincos", "fzorp", "fddiv")
 
 

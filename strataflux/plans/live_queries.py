@@ -172,6 +172,58 @@ def vector_verdicts(spark, d):
     return E.run_vectors(bound).groupBy("op", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the 32 conditions in pairs: the second of a pair is the signalling twin of the first
+_CONDITIONS = ("f sf eq seq ogt gt oge ge olt lt ole le ogl gl or gle un ngle ueq ngl ugt nle uge nlt ult nge ule ngt ne sne t st").split()
+_BRANCH_SQL = f"""with b as (select l_orderkey, l_linenumber, {_CONDITIONS}[l_partkey % 32 + 1] as p, l_partkey % 32 as pos, l_suppkey % 2 = 1 as n, l_orderkey % 3 = 0 as z, l_linenumber % 2 = 0 as nan,
+  (l_orderkey // 4) % 2 = 0 as enabled, l_quantity % 2 = 0 as expected from lineitem), s as (
+  select *, pos % 2 = 1 and nan as bsun, nan and not (pos % 2 = 1 and enabled) as u from b), r as (
+  select *, case pos // 2 when 0 then false when 1 then z when 2 then not (u or z or n) when 3 then z or not (u or n) when 4 then n and not (u or z) when 5 then z or (n and not u)
+    when 6 then not (u or z) when 7 then not u when 8 then u when 9 then u or z when 10 then u or not (n or z) when 11 then u or z or not n when 12 then u or (n and not z)
+    when 13 then u or z or n when 14 then not z else true end as goes from s)
+select 'fb' || p as op, case when goes = expected and not bsun then 'ok' else 'mismatch' end as verdict,
+  concat_ws(',', case when bsun then '~aiop' end, case when bsun then '~bsun' end, case when goes <> expected then case when expected then 'taken' else '~taken' end end) as failed, count(*) as n
+from r group by all"""
+
+
+@query("branch_verdicts", _BRANCH_SQL)
+def branch_verdicts(spark, d):
+    """A conditional branch for each line item, expected to be (not) taken and to raise nothing."""
+    names = F.element_at(F.array(*[F.lit(c) for c in _CONDITIONS]), (F.col("l_partkey") % 32 + 1).cast("int"))
+    line = F.concat(F.lit("fb"), names, F.expr("""concat('.w ', if(l_suppkey % 2 = 1, 'n ', ''), if(l_orderkey % 3 = 0, 'z ', ''), if(l_linenumber % 2 = 0, 'nan ', ''),
+      if((l_orderkey div 4) % 2 = 0, 'bsun ', ''), '= ~bsun ~aiop ', if(l_quantity % 2 = 0, 't', '~t'), ' q:00')"""))
+    path = scratch_path(spark, "branches")
+    T.table(spark, d, "lineitem").select(line.alias("value")).write.text(path)
+    parsed, _ = V.parse_vectors(V.read_vectors(spark, path))
+    bound, _ = C.bind_ops(parsed, C.catalogue(spark))
+    return E.run_vectors(bound).groupBy("op", "verdict", F.array_join(F.array_sort("failed"), ",").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FLAG_SQL = """with v as (select l_partkey % 4 as kind, cast(l_quantity as double) as a, cast(l_suppkey % 3 - 1 as double) as b, l_linenumber % 2 = 0 as said, l_orderkey % 128 as q from lineitem), g as (
+  select *, case kind when 0 then a < b when 1 then b < 0 else false end as n, case kind when 0 then a = b when 1 then b = 0 else false end as z,
+    kind = 2 and b = 0 as dz, case when kind = 3 then case when b = 0 then null else (cast(a as bigint) % 128) + case when b < 0 then 128 else 0 end end as qb, kind = 3 and b = 0 as operr from v), f as (
+  select ['fcmp', 'ftst', 'fdiv', 'fmod'][kind + 1] as op, case when kind = 3 and b = 0 then true else false end as unsure, concat_ws(',',
+    case when kind < 2 and n <> said then case when said then 'n' else '~n' end end,
+    case when kind >= 2 and dz <> said then case when said then 'dz' else '~dz' end end, case when operr then '~operr' end,
+    case when kind = 3 and b <> 0 and qb <> q then 'qbyte' when kind <> 3 and q <> 0 then 'qbyte' end) as failed from g)
+select op, case when failed <> '' then 'mismatch' when unsure then 'not_judged' else 'ok' end as verdict, failed, count(*) as n from f group by all"""
+
+
+@query("flag_verdicts", _FLAG_SQL)
+def flag_verdicts(spark, d):
+    """Comparisons, tests, divisions and remainders, some by zero, with expected codes, exceptions and quotient bytes."""
+    rows = T.table(spark, d, "lineitem").select((F.col("l_partkey") % 4).alias("kind"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_suppkey") % 3 - 1).cast("double").alias("b"),
+                                                (F.col("l_linenumber") % 2 == 0).alias("said"), (F.col("l_orderkey") % 128).alias("q"))
+    result = F.when(F.col("kind") == 2, ieee.fdiv(F.col("a"), F.col("b"))).otherwise(ieee.fmod(F.col("a"), F.col("b")))
+    hexed = rows.select("kind", "said", "q", fbits.double_digits(F.col("a")).alias("x"), fbits.double_digits(F.col("b")).alias("y"), fbits.extended_digits(result).alias("r"))
+    line = F.expr("""concat(element_at(array('fcmp', 'ftst', 'fdiv', 'fmod'), cast(kind + 1 as int)), '.d ', if(kind = 1, y, concat('[d]', x, ' ', y)), ' = ', if(kind < 2, '', concat(r, ' ')),
+      if(said, '', '~'), if(kind < 2, 'n', 'dz'), ' ~operr ~snan q:', lower(lpad(hex(q), 2, '0')))""")
+    path = scratch_path(spark, "flags")
+    hexed.select(line.alias("value")).write.text(path)
+    parsed, _ = V.parse_vectors(V.read_vectors(spark, path))
+    bound, _ = C.bind_ops(parsed, C.catalogue(spark))
+    return E.run_vectors(bound).groupBy("op", "verdict", F.array_join(F.array_sort("failed"), ",").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _deliver_again(spark, source, target):
     """Every second file of `source` under its own name in `target`."""
     hadoop = spark._jvm.org.apache.hadoop.fs
