@@ -181,7 +181,7 @@ _BRANCH_SQL = f"""with b as (select l_orderkey, l_linenumber, {_CONDITIONS}[l_pa
     when 6 then not (u or z) when 7 then not u when 8 then u when 9 then u or z when 10 then u or not (n or z) when 11 then u or z or not n when 12 then u or (n and not z)
     when 13 then u or z or n when 14 then not z else true end as goes from s)
 select 'fb' || p as op, case when goes = expected and not bsun then 'ok' else 'mismatch' end as verdict,
-  concat_ws(',', case when bsun then '~aiop' end, case when bsun then '~bsun' end, case when goes <> expected then case when expected then 'taken' else '~taken' end end) as failed, count(*) as n
+  concat_ws(',', case when expected and not goes then 'taken' end, case when bsun then '~aiop' end, case when bsun then '~bsun' end, case when goes and not expected then '~taken' end) as failed, count(*) as n
 from r group by all"""
 
 
@@ -200,11 +200,11 @@ def branch_verdicts(spark, d):
 
 _FLAG_SQL = """with v as (select l_partkey % 4 as kind, cast(l_quantity as double) as a, cast(l_suppkey % 3 - 1 as double) as b, l_linenumber % 2 = 0 as said, l_orderkey % 128 as q from lineitem), g as (
   select *, case kind when 0 then a < b when 1 then b < 0 else false end as n, case kind when 0 then a = b when 1 then b = 0 else false end as z,
-    kind = 2 and b = 0 as dz, case when kind = 3 then case when b = 0 then null else (cast(a as bigint) % 128) + case when b < 0 then 128 else 0 end end as qb, kind = 3 and b = 0 as operr from v), f as (
-  select ['fcmp', 'ftst', 'fdiv', 'fmod'][kind + 1] as op, case when kind = 3 and b = 0 then true else false end as unsure, concat_ws(',',
+    kind = 2 and b = 0 as dz, case when kind = 3 then case when b = 0 then null else (cast(a as bigint) % 128) + case when b < 0 then 128 else 0 end end end as qb, kind = 3 and b = 0 as operr from v), f as (
+  select ['fcmp', 'ftst', 'fdiv', 'fmod'][kind + 1] as op, case when kind = 3 and b = 0 then true else false end as unsure, array_to_string(list_sort(list_filter([
     case when kind < 2 and n <> said then case when said then 'n' else '~n' end end,
     case when kind >= 2 and dz <> said then case when said then 'dz' else '~dz' end end, case when operr then '~operr' end,
-    case when kind = 3 and b <> 0 and qb <> q then 'qbyte' when kind <> 3 and q <> 0 then 'qbyte' end) as failed from g)
+    case when kind = 3 and b <> 0 and qb <> q then 'qbyte' when kind <> 3 and q <> 0 then 'qbyte' end], lambda x: x is not null)), ',') as failed from g)
 select op, case when failed <> '' then 'mismatch' when unsure then 'not_judged' else 'ok' end as verdict, failed, count(*) as n from f group by all"""
 
 
