@@ -106,14 +106,35 @@ PIXELS_PER_BATCH = 1 << 16
 
 def read_pixels(df: DataFrame) -> DataFrame:
     """Portable pixmaps and greymaps, text or binary, as pixels with samples scaled to 0..255."""
-    def decode(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield from _decode_map(path, content)
-    return df.select("path", "content").mapInPandas(decode, _PIXEL_SCHEMA)
+    return df.select("path", "content").mapInPandas(_pixel_frames, _PIXEL_SCHEMA)
+
+
+def _pixel_frames(batches):
+    for pdf in batches:
+        held, n = [], 0  # small images share a frame: one for each image costs far more than its pixels
+        for path, content in zip(pdf["path"], pdf["content"]):
+            for piece in _decode_map(path, content):
+                if held and n + len(piece[3]) > PIXELS_PER_BATCH:
+                    yield _pixel_frame(held)
+                    held, n = [], 0
+                held.append(piece)
+                n += len(piece[3])
+        if held:
+            yield _pixel_frame(held)
+
+
+def _pixel_frame(pieces):
+    """Pixels of pieces `(path, width, first, samples)` one after the other."""
+    paths, widths, firsts, grids = zip(*pieces)
+    sizes = np.array([len(g) for g in grids])
+    grid = np.concatenate(grids)
+    n = np.arange(len(grid)) + np.repeat(np.array(firsts) - (np.cumsum(sizes) - sizes), sizes)
+    w = np.repeat(np.array(widths), sizes)
+    return pd.DataFrame({"img": np.repeat(np.array(paths, dtype=object), sizes), "y": n // w, "x": n % w, "r": grid[:, 0], "g": grid[:, 1], "b": grid[:, 2]})
 
 
 def _decode_map(path, content):
+    """Pieces `(path, width, first, samples)` of at most PIXELS_PER_BATCH pixels: three samples for each pixel from the `first` on."""
     if content[:2] not in (b"P2", b"P3", b"P5", b"P6"):
         return
     fields, at = [], 2
@@ -134,9 +155,7 @@ def _decode_map(path, content):
     grid = scaled.reshape(h * w, planes)
     for lo in range(0, h * w, PIXELS_PER_BATCH):
         part = grid[lo:lo + PIXELS_PER_BATCH]
-        n = np.arange(lo, lo + len(part))
-        cols = [part[:, i if planes == 3 else 0] for i in range(3)]
-        yield pd.DataFrame({"img": path, "y": n // w, "x": n % w, "r": cols[0], "g": cols[1], "b": cols[2]})
+        yield path, w, lo, part if planes == 3 else np.repeat(part, 3, axis=1)
 
 
 # --- compressed-image markers --------------------------------------------

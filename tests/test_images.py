@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +241,21 @@ def test_files_on_disk(spark, tmp_path):
     assert types == {"pixmap": 1, "text": 2, "greymap": 1, "program": 1}
 
 
+def test_small_images_share_a_frame():
+    def image(i):
+        return f"i{i}", b"P6 2 1 255\n" + bytes(range(i, i + 6))
+
+    files = pd.DataFrame([image(i) for i in range(200)] + [("grey", b"P5 400 300 255\n" + bytes(120_000)), ("text", b"P2 1 2 1 0 1"), image(7)], columns=["path", "content"])
+    frames = list(N._pixel_frames([files]))
+    assert len(frames) == 3 and max(map(len, frames)) <= N.PIXELS_PER_BATCH
+    px = pd.concat(frames)
+    assert len(px) == 200 * 2 + 120_000 + 2 + 2
+    assert [tuple(r) for r in px[px["img"] == "i7"][["y", "x", "r", "g", "b"]].to_numpy()] == [(0, 0, 7, 8, 9), (0, 1, 10, 11, 12)] * 2
+    grey = px[px["img"] == "grey"]
+    assert (grey["y"] * 400 + grey["x"]).tolist() == list(range(120_000))
+    assert [tuple(r) for r in px[px["img"] == "text"][["y", "x", "r"]].to_numpy()] == [(0, 0, 0), (1, 0, 255)]
+
+
 def test_start_codes_meet_chunk_edges(spark):
     rng = random.Random(7)
     content = bytes(rng.choice([0, 0, 1, 9]) for _ in range(5000))
