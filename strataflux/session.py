@@ -33,6 +33,11 @@ def build_session(app: str = "strataflux", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def split_wide_code(spark: SparkSession) -> None:
+    """Wide projections of this session run as small methods, which the JVM compiles, whoever built the session."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", SETTINGS["spark.sql.codegen.hugeMethodLimit"])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: `spark.checkpoint.dir` when the cluster names one.
 
