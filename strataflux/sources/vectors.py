@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataflux.functions import fbits
 from strataflux.operators.scan import FillForward, RunningSum, hold, scan
+from strataflux.session import split_wide_code
 
 # Words of the vector format.
 ENABLES = ("bsun", "snan", "operr", "ovfl", "unfl", "dz", "inex2", "inex1")
@@ -34,11 +36,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Line numbers for `(suite, _block, raw)`, rows in reading order inside a block."""
+    """Line numbers for `(suite, _block, raw)`, blocks as the text reader gives them: each in one piece, rows in reading order.
+
+    The rows of a block have ids in sequence, so a block's first id and the lines
+    of the blocks before it give the numbers, and no line is moved or sorted. There
+    is one row for each block to broadcast.
+    """
     placed = lines.withColumn("_at", F.monotonically_increasing_id())
-    return scan(placed, ["suite"], ["_block", "_at"], {"line_no": RunningSum(F.lit(1).cast("bigint"))}, width=None).select(
-        "suite", "line_no", "raw"
-    )
+    blocks = placed.groupBy("suite", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("suite").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("suite", "_block", (before + 1 - F.col("_first")).alias("_start"))
+    return placed.join(F.broadcast(starts), ["suite", "_block"]).select("suite", (F.col("_at") + F.col("_start")).alias("line_no"), "raw")
 
 
 def directive_state(lines: DataFrame, line: str = "line", part: str = "suite", order: str = "line_no", width: int | None = 1 << 16) -> DataFrame:
@@ -81,6 +89,7 @@ def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     expected flags and results. A token is a known word, a constant or, once
     per line, the operation.
     """
+    split_wide_code(lines.sparkSession)
     spaced = F.trim(F.regexp_replace(F.col("line"), "=", " = "))
     split = hold(lines.where("kind = 'test'"), _t=F.split(spaced, r"\s+"))
     at = F.array_position("_t", F.lit("=")).cast("int")

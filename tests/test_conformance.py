@@ -254,3 +254,29 @@ def test_no_local_scratch_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Cluster())
+
+
+def test_lines_are_numbered_without_a_window_over_them(spark, folder):
+    for name in ("a", "b"):
+        with open(f"{folder}/{name}.txt", "w") as f:
+            f.writelines(f"{name} {i}\n" for i in range(1, 2001))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = V.read_lines(spark, folder)
+        got = lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 4000 and all(r.raw == f"{r.suite[-5]} {r.line_no}" for r in got)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # over one row a block
+
+
+def test_wide_projections_are_split(spark, folder):
+    from strataflux.operators.scan import hold
+
+    plan = hold(spark.range(3), a=F.col("id") * 2, b=F.col("id") + 1)
+    assert plan.columns == ["id", "a", "b"] and [tuple(r) for r in plan.orderBy("id").collect()] == [(0, 0, 1), (1, 2, 2), (2, 4, 3)]
+    assert "inline(_held" in plan._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    lines = spark.createDataFrame([("s", 1, "fadd.x 0 1 = 1 ~n")], "suite string, line_no bigint, raw string")
+    bound, _ = C.bind_ops(V.parse_vectors(V.classify_lines(lines))[0], C.catalogue(spark))
+    assert E.run_vectors(bound).count() == 1 and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
