@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,21 +34,32 @@ def _gathered(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
 
+# Many small keys share a call and a state value: a call for each key costs more than its rows.
+BUCKETS = 256
+
+
 class _Levels(StatefulProcessor):
-    """Value state: the level after the last row."""
+    """Value state of a bucket of parts: an Arrow table of their levels after the last row."""
 
-    def __init__(self, order: str, delta: str):
-        self.order, self.delta = order, delta
+    def __init__(self, part: list[str], order: str, delta: str):
+        self.part, self.order, self.delta = part, order, delta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "level bigint")
+        self.levels = handle.getValueState("levels", "levels binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = _gathered(rows, self.order)
-        start = self.level.get()[0] if self.level.exists() else 0
-        frame["level"] = frame[self.delta].cumsum() + start
-        self.level.update((int(frame["level"].iloc[-1]),))
-        yield frame
+        frame, cols = _gathered(rows, self.order), [*self.part, self.delta]
+        # the levels so far go in front, as one more delta of their parts
+        before = [pa.ipc.open_stream(bytes(self.levels.get()[0])).read_all().to_pandas()] if self.levels.exists() else []
+        steps = pd.concat([*before, frame[cols]], ignore_index=True)
+        by = steps.groupby(self.part, dropna=False, sort=False)[self.delta]
+        frame["level"] = by.cumsum().iloc[len(steps) - len(frame):].to_numpy()
+        table = pa.Table.from_pandas(by.sum().astype("int64").reset_index(), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.levels.update((sink.getvalue().to_pybytes(),))
+        yield frame[[*self.part, self.order, self.delta, "level"]]
 
     def close(self) -> None:
         pass
@@ -57,7 +69,11 @@ def running_levels(deltas: DataFrame, part: list[str], order: str, delta: str) -
     """The stream with `level`, the sum of a part's deltas up to the row, over all batches."""
     use_state_store(deltas.sparkSession)
     rows = deltas.select(*part, order, F.col(delta).cast("bigint").alias(delta))
-    return rows.groupBy(*part).transformWithStateInPandas(_Levels(order, delta), StructType([*rows.schema.fields, StructField("level", LongType())]), "Append", "None")
+    # parts with the same nulls meet, so that no whole number shares a column with a null
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in part])
+    bucket = F.concat(nulls, F.lit(":"), F.pmod(F.xxhash64(*part), F.lit(BUCKETS)).cast("string"))
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
+        _Levels(part, order, delta), StructType([*rows.schema.fields, StructField("level", LongType())]), "Append", "None")
 
 
 class _FirstStream(StatefulProcessor):
