@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from strataflux.functions import fbits, ieee
@@ -19,8 +21,8 @@ from strataflux.streaming import state as S
 DELIVERY_ROWS = 250_000
 
 
-def _deliver(spark, d, part, into, folder):
-    """Events as files that arrive one after the other: part `first` or `second` half of the deliveries, each one file.
+def _deliveries(spark, d, into, folder):
+    """Events as one file for each delivery, `slot=i` below `folder`, all written by one job.
 
     `into` gives the number of a row's delivery from columns `slot` (0 .. n - 1, by event_id) and the table's own.
     """
@@ -28,16 +30,31 @@ def _deliver(spark, d, part, into, folder):
     rows, top = events.agg(F.count(F.lit(1)), F.max("event_id")).first()
     n = max(4, -(-rows // DELIVERY_ROWS))
     placed = events.withColumn("slot", F.expr(f"event_id * {n} div {(top or 0) + 1}")).withColumn("slot", F.expr(into))
-    for i in range(n // 2) if part == "first" else range(n // 2, n + 1):
-        placed.where(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(folder)
+    placed.where(F.col("slot").between(0, n)).repartition(n + 1, "slot").write.partitionBy("slot").parquet(folder)
     return n
 
 
+def _arrive(spark, source, slots, folder, since):
+    """Put the files of these deliveries into the watched `folder`, each a second newer than the one before: a stream takes old files first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop.Path(folder))
+    for i in slots:
+        at = hadoop.Path(f"{source}/slot={i}")
+        for name in [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []:
+            if name.startswith("part-"):
+                there = hadoop.Path(f"{folder}/{i}-{name}")
+                if not store.rename(hadoop.Path(f"{source}/slot={i}/{name}"), there):
+                    raise OSError(f"{name} could not be moved to {folder}")
+                store.setTimes(there, since + i * 1000, -1)
+
+
 def _twice(spark, d, label, job, into="slot"):
     """What `job` writes of the event stream, stopped after half of the deliveries and started again for the rest."""
-    folder, out, check = (scratch_path(spark, f"{label}-{n}") for n in ("in", "out", "checkpoint"))
-    for part in ("first", "second"):
-        _deliver(spark, d, part, into, folder)
+    made, folder, out, check = (scratch_path(spark, f"{label}-{n}") for n in ("made", "in", "out", "checkpoint"))
+    n, since = _deliveries(spark, d, into, made), int(time.time() * 1000)
+    for slots in (range(n // 2), range(n // 2, n + 1)):
+        _arrive(spark, made, slots, folder, since)
         done = job(L.file_stream(spark, folder, T.table(spark, d, "events").schema, files_per_batch=1))
         L.append_to(done, out, check).awaitTermination()
     return spark.read.schema(done.schema).parquet(out)
