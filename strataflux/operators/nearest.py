@@ -36,7 +36,33 @@ def squared(vectors: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 def closest(vectors: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, squared distance) of the first nearest point; one point's distances at a time."""
+    """(index, squared distance) of the first nearest point.
+
+    A matrix product bounds the distances of 256 vectors at a time; only points that
+    its rounding leaves in question are measured, as `squared` does.
+    """
+    at, least = np.zeros(len(vectors), np.int64), np.full(len(vectors), np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        lengths = np.sqrt((points**2).sum(axis=1))
+        for start in range(0, len(vectors), 256):
+            part = vectors[start:start + 256]
+            own = np.sqrt((part**2).sum(axis=1, keepdims=True))
+            size = (own + lengths) ** 2
+            rough = own**2 + lengths**2 - 2 * (part @ points.T)
+            slack = size * ((points.shape[1] + 8) * 1e-15) + 1e-290
+            if len(points) and np.isfinite(size).all() and np.isfinite(rough).all():
+                row, point = np.nonzero(rough - slack <= (rough + slack).min(axis=1, keepdims=True))
+                d = squared(part[row], points[point])
+                order = np.lexsort((point, d, row))
+                first = order[np.unique(row[order], return_index=True)[1]]
+                at[start:start + 256], least[start:start + 256] = point[first], d[first]
+            else:
+                at[start:start + 256], least[start:start + 256] = _closest_by_point(part, points)
+    return at, least
+
+
+def _closest_by_point(vectors: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same one point at a time, for numbers whose squares overflow."""
     at, least = np.zeros(len(vectors), np.int64), np.full(len(vectors), np.inf)
     for i, point in enumerate(points):
         d = squared(vectors, point)

@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from strataflux.operators import pixels as P
+from strataflux.operators import nearest as N
 from strataflux.operators.nearest import nearest_by_cells
 
 
@@ -55,3 +57,14 @@ def test_large_tables_are_not_refused(spark, points, rows):
     small = P.nearest_vectors(vectors, centroids, "vec", "k").select("id", "key", "nearest")
     large = P.nearest_vectors(vectors, centroids, "vec", "k", limit=10).select("id", "key", "nearest")
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+def test_closest_measures_as_one_point_at_a_time():
+    r = np.random.default_rng(1)
+    for dim, scale in ((1, 1.0), (3, 1e-170), (64, 1.0), (64, 1e160)):
+        points = r.normal(size=(300, dim))
+        points = np.concatenate([points, points[5:30]]) * scale  # equal points: the first counts
+        vectors = np.concatenate([r.normal(size=(300, dim)) * scale, points[:50], (points[:40] + points[1:41]) / 2])
+        with np.errstate(over="ignore"):
+            got, want = N.closest(vectors, points), N._closest_by_point(vectors, points)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
