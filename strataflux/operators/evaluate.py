@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strataflux.functions import conditions, fbits, ieee
 from strataflux.operators.conformance import check_results, count_ok
 from strataflux.operators.scan import hold
+from strataflux.session import split_wide_code
 
 _PLAIN = [n for n in ieee.MONADIC if n not in ("fint", "fintrz")]
 TESTS = ("ftst", "fcmp")  # set codes only
@@ -101,6 +102,7 @@ def run_vectors(bound: DataFrame) -> DataFrame:
     more: overflow, inexact and trap flags. An unchecked expectation never reads
     as ok. What DOUBLE cannot hold is `not_representable`, right or wrong.
     """
+    split_wide_code(bound.sparkSession)
     two, branches, tests = F.col("arity") == 2, F.col("arity") == 0, F.col("op").isin(*TESTS)
     runs = F.coalesce(F.expr("""has_expect and not moves_out and (arity = 0 or in1 is not null and (arity = 1 or in2 is not null)
         and (op in ('ftst', 'fcmp') or exp1 is not null) and (op <> 'fsincos' or exp2 is not null))"""), F.lit(False))

@@ -26,6 +26,7 @@ CHUNK = "_chunk"
 WIDTH = 1 << 16
 _FIRST = "_first"
 _LAST = "_last"
+_HELD = "_held"
 
 _before = (W.unboundedPreceding, -1)
 _upto = (W.unboundedPreceding, 0)
@@ -189,5 +190,8 @@ def hold(df: DataFrame, **cols) -> DataFrame:
 
     A filter on a derived column is otherwise pushed down with the whole
     expression inlined at each use, which array functions then evaluate again.
+    The values are computed in a projection of their own, below the generator:
+    inside a generator that the engine does not compile they would be interpreted.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+    made = df.select("*", F.array(F.struct(*[c.alias(n) for n, c in cols.items()])).alias(_HELD))
+    return made.select(*df.columns, F.inline(_HELD))
