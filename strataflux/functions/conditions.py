@@ -53,6 +53,15 @@ def branch(name: str, n: Column, z: Column, nan: Column) -> Column:
     return F.struct(taken.alias("taken"), (nan & F.lit(name in SIGNALLING)).alias("bsun"))
 
 
+def taken(name: str, n: bool, z: bool, nan: bool) -> bool:
+    """`branch` of one combination of condition codes."""
+    quiet = SIGNALLING.get(name, name)
+    if quiet in ("t", "or", "ne"):
+        return {"t": True, "or": not nan, "ne": not z}[quiet]
+    ordered = not z and not nan
+    return any(code for letter, code in (("E", z), ("U", nan), ("L", n and ordered), ("G", not n and ordered)) if letter in QUIET[quiet])
+
+
 def ftst(x: Column) -> Column:
     """Condition codes of a number: struct `(n, z, i, nan)`."""
     return F.struct(

@@ -70,12 +70,30 @@ def bits_single(bits: pa.Array) -> pa.Array:
 @F.arrow_udf(DoubleType())
 def extended_number(head: pa.Array, significand: pa.Array) -> pa.Array:
     """Nearest double of a sign-and-exponent word and 64 significand bits."""
-    word, mant = _whole(head), _whole(significand).view(np.uint64)
+    return pa.array(extended_double(_whole(head), _whole(significand).view(np.uint64)), mask=_gaps(head) | _gaps(significand))
+
+
+def extended_double(word: np.ndarray, mant: np.ndarray) -> np.ndarray:
     exp = word & 32767
     with np.errstate(over="ignore"):
         size = np.ldexp(mant.astype(np.float64), np.clip(exp - (16383 + 63), -2200, 2200))
     size = np.where(exp == 32767, np.where(mant << np.uint64(1), np.nan, np.inf), size)
-    return pa.array(np.where(word & 32768, -size, size), mask=_gaps(head) | _gaps(significand))
+    return np.where(word & 32768, -size, size)
+
+
+def packed_bytes(values: pa.Array) -> np.ndarray:
+    """All bytes of a text or binary column, one value after the other."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1] if len(values) else [0, 0]
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def fixed_binary(rows: np.ndarray, gaps: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Rows of bytes as a binary (or text) column."""
+    n, width = rows.shape
+    ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[:n + 1])
+    valid = pa.py_buffer(np.packbits(~gaps, bitorder="little")) if gaps.any() else None
+    return pa.Array.from_buffers(kind or pa.binary(), n, [valid, ends, pa.py_buffer(np.ascontiguousarray(rows, np.uint8))])
 
 
 def _gaps(values: pa.Array) -> np.ndarray:

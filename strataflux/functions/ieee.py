@@ -103,14 +103,14 @@ def number_parts(x: pa.Array) -> pa.Array:
     SQL has no way to the exponent field, and a logarithm is off by one near
     powers of two, so this pair comes from an Arrow batch.
     """
-    v = x.to_numpy(zero_copy_only=False)
     none = x.is_null().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([pa.array(part, mask=none) for part in significand_exponent(x.to_numpy(zero_copy_only=False))], names=["man", "exp"])
+
+
+def significand_exponent(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     man, exp = np.frexp(v)
     zero, gone = v == 0, ~np.isfinite(v)
-    return pa.StructArray.from_arrays([
-        pa.array(np.where(gone, np.nan, np.where(zero, v, man * 2)), mask=none),
-        pa.array(np.where(gone, np.nan, np.where(zero, v, exp - 1.0)), mask=none),
-    ], names=["man", "exp"])
+    return np.where(gone, np.nan, np.where(zero, v, man * 2)), np.where(gone, np.nan, np.where(zero, v, exp - 1.0))
 
 
 def fgetexp(x: Column) -> Column:

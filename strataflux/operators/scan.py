@@ -192,6 +192,8 @@ def hold(df: DataFrame, **cols) -> DataFrame:
     expression inlined at each use, which array functions then evaluate again.
     The values are computed in a projection of their own, below the generator:
     inside a generator that the engine does not compile they would be interpreted.
+    The outer form: before the plain one the engine puts a filter on the size of the
+    array, which computes all values twice.
     """
     made = df.select("*", F.array(F.struct(*[c.alias(n) for n, c in cols.items()])).alias(_HELD))
-    return made.select(*df.columns, F.inline(_HELD))
+    return made.select(*df.columns, F.inline_outer(_HELD))

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from strataflux.session import scratch_path
-from strataflux.sources import binaries
+# by name: a function that names a module takes all of it along to the tasks
+from strataflux.sources.binaries import PACKET_SCHEMA, PREFIX, record_at
 
 CHUNK_BYTES = 8 << 20
 OVERLAP_BYTES = 66_000  # a record and the next prefix: 6 + 65,535 + 3 at most
@@ -109,10 +110,10 @@ ENDED = 1 << 62  # where a walk goes that has met the end code or the end of the
 
 def _hits(piece: bytes, n: int) -> list[int]:
     """Places of start codes that begin in the first n bytes."""
-    found, at = [], piece.find(binaries.PREFIX)
+    found, at = [], piece.find(PREFIX)
     while 0 <= at < n:
         found.append(at)
-        at = piece.find(binaries.PREFIX, at + 1)
+        at = piece.find(PREFIX, at + 1)
     return found
 
 
@@ -121,7 +122,7 @@ def _exits(piece: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
     hits = _hits(piece, stop - start)
     exits, counts = [0] * len(hits), [0] * len(hits)
     for i in range(len(hits) - 1, -1, -1):
-        record = binaries.record_at(piece, hits[i])
+        record = record_at(piece, hits[i])
         if record is None:
             exits[i] = ENDED
             continue
@@ -162,16 +163,16 @@ def packets(ranges: DataFrame) -> DataFrame:
                 kind = pa.list_(pa.struct([("upto", pa.int64()), ("leave", pa.int64()), ("n", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([found], kind)], names=["path", "start", "steps"])
 
-    names = [f.split()[0] for f in binaries.PACKET_SCHEMA.split(", ")]
-    kinds = [pa.string() if "string" in f else pa.int64() for f in binaries.PACKET_SCHEMA.split(", ")]
+    names = [f.split()[0] for f in PACKET_SCHEMA.split(", ")]
+    kinds = [pa.string() if "string" in f else pa.int64() for f in PACKET_SCHEMA.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, stop, piece, entry, seq in zip(*[c.to_pylist() for c in batch.columns]):
                 rows, at = [], entry
                 while at < stop:
-                    hit = piece.find(binaries.PREFIX, max(0, at - start))
-                    record = binaries.record_at(piece, hit) if 0 <= hit < stop - start else None
+                    hit = piece.find(PREFIX, max(0, at - start))
+                    record = record_at(piece, hit) if 0 <= hit < stop - start else None
                     if record is None:
                         break
                     for n, (kind, sid, ticks, rate, head, size) in enumerate(record[0]):
@@ -186,7 +187,7 @@ def packets(ranges: DataFrame) -> DataFrame:
     path = scratch_path(ranges.sparkSession, "range-entries")
     entered.write.parquet(path)  # so that the join knows its size and need not shuffle the pieces
     entered = ranges.sparkSession.read.schema(entered.schema).parquet(path)
-    return ranges.join(entered, ["path", "start"]).select("path", "start", "stop", "piece", "entry", "seq").mapInArrow(walk, binaries.PACKET_SCHEMA)
+    return ranges.join(entered, ["path", "start"]).select("path", "start", "stop", "piece", "entry", "seq").mapInArrow(walk, PACKET_SCHEMA)
 
 
 # --- writing --------------------------------------------------------------------

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, MapType, StringType, StructField, StructType
 
-from strataflux.functions import fbits
+from strataflux.functions.fbits import HEX_DIGITS, fixed_binary, packed_bytes  # by name: a function that names a module takes all of it along to the tasks
 from strataflux.operators.scan import FillForward, RunningSum, hold, scan
 from strataflux.session import split_wide_code
 
@@ -77,9 +83,135 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return classify_lines(read_lines(spark, path))
 
 
-# One pattern per side, so that a token is matched once.
-_LEFT = ("^(" + "|".join(ROUNDINGS + PRECISIONS + PLACES) + "|~?(" + "|".join(ENABLES + CODES) + ")|k#:.*|ks:.*|kd:.*|q:.*)$")
-_RIGHT = "^(~?(" + "|".join(STATUS + TRAPS + ("t",)) + ")|f|q:.*)$"
+# Words of a side, and the beginnings of its words with a value.
+_LEFT = (ROUNDINGS + PRECISIONS + PLACES + tuple(s + w for w in ENABLES + CODES for s in ("", "~")), ("k#:", "ks:", "kd:", "q:"))
+_RIGHT = (tuple(s + w for w in STATUS + TRAPS + ("t",) for s in ("", "~")) + ("f",), ("q:",))
+_GAP = r"[ \t\n\x0b\f\r]+"
+_ENDS = "\u0085\u2028\u2029"  # line ends inside a token: one at its end is not part of the word
+_NIBBLE = np.zeros(256, np.uint8)
+_NIBBLE[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16)
+_TEXT, _WORDS = StringType(), ArrayType(StringType())
+PARSED = StructType([StructField(name, kind) for name, kind in {
+    "reason": _TEXT, "op": _TEXT, "size": _TEXT, "rmode": _TEXT, "prec": _TEXT, "enables": _WORDS, "codes": _WORDS, "in1": BinaryType(), "in1_from": _TEXT, "in2": BinaryType(),
+    "k_word": _TEXT, "q_word": _TEXT, "moves_out": BooleanType(), "has_expect": BooleanType(), "exp1": BinaryType(), "exp2": BinaryType(),
+    "exp_flags": MapType(StringType(), BooleanType())}.items()])
+
+
+def _true(mask: pa.Array) -> np.ndarray:
+    return mask.fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _is_word(tokens: pa.Array, words: tuple, starts: tuple, odd: bool) -> np.ndarray:
+    hit = _true(pc.is_in(tokens, value_set=pa.array(words)))
+    if odd:
+        known = [re.escape(w) for w in words] + [re.escape(s) + f"[^{_ENDS}]*" for s in starts]
+        return _true(pc.match_substring_regex(tokens, f"^(?:{'|'.join(known)})[{_ENDS}]?$"))
+    for s in starts:
+        hit |= _true(pc.starts_with(tokens, s))
+    return hit
+
+
+def _bare(tokens: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Constants without size prefix, `_` and `(...)`, and their size prefix."""
+    marked = pc.or_(pc.starts_with(tokens, "["), pc.or_(pc.match_substring(tokens, "("), pc.match_substring(tokens, "_")))
+    some = tokens.filter(marked)
+    sized = pc.match_substring_regex(some, r"^\[[bwlsdxp]\]")
+    cut = pc.replace_substring_regex(pc.if_else(sized, pc.utf8_slice_codeunits(some, 3), some), r"\([^)]*\)?|_", "")
+    size = pc.if_else(sized, pc.utf8_slice_codeunits(some, 1, 2), pa.scalar(None, pa.string()))
+    return pc.replace_with_mask(tokens, marked, cut), pc.replace_with_mask(pa.nulls(len(tokens), pa.string()), marked, size)
+
+
+def _constant_bytes(bare: pa.Array) -> pa.Array:
+    """Twelve bytes of hex digits, right-justified; null where they are none."""
+    digits = pc.utf8_slice_codeunits(pc.utf8_lpad(bare, HEX_DIGITS, "0"), 0, HEX_DIGITS)
+    good = _true(pc.match_substring_regex(digits, "^[0-9a-f]{24}$"))
+    text = pc.if_else(pa.array(good), digits, "0" * HEX_DIGITS)
+    half = _NIBBLE[packed_bytes(text)].reshape(-1, 2)
+    return fixed_binary((half[:, 0] << 4 | half[:, 1]).reshape(-1, 12), ~good)
+
+
+class _Rows:
+    """Tokens of one kind, grouped by their line."""
+
+    def __init__(self, tokens: pa.Array, row: np.ndarray, n: int):
+        self.tokens, self.row, self.count = tokens, row, np.bincount(row, minlength=n)
+        self.start = np.cumsum(self.count) - self.count
+
+    def at(self, i: int, values: pa.Array | None = None) -> pa.Array:
+        """The i-th token (or its value) of each line, the last for -1; null where there is none."""
+        there = self.count > max(i, 0)
+        place = self.start + (i if i >= 0 else self.count - 1)
+        return (self.tokens if values is None else values).take(pa.array(np.where(there, place, 0), mask=~there))
+
+    def pick(self, mask: np.ndarray) -> _Rows:
+        return _Rows(self.tokens.filter(pa.array(mask)), self.row[mask], len(self.count))
+
+    def among(self, words: tuple) -> _Rows:
+        return self.pick(_true(pc.is_in(self.tokens, value_set=pa.array(words))))
+
+    def offsets(self) -> pa.Array:
+        return pa.array(np.append(self.start, len(self.row)).astype(np.int32))
+
+    def lists(self, gone: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(self.offsets(), self.tokens, mask=pa.array(gone))
+
+
+@F.arrow_udf(PARSED)
+def _parsed(line: pa.Array) -> pa.Array:
+    """Fields of test lines, or the reason of a reject: all tokens of a batch at once."""
+    n, gone = len(line), line.is_null().to_numpy(zero_copy_only=False)
+    split = pc.split_pattern_regex(pc.utf8_trim(pc.replace_substring(line, "=", " = "), " "), _GAP)
+    t, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    odd = bool(pc.any(pc.match_substring_regex(line, f"[{_ENDS}]")).as_py())
+    equals = _true(pc.equal(t, "="))
+    at, place = np.full(n, len(t)), np.flatnonzero(equals)[::-1]
+    at[row[place]] = place  # the first of a line is written last
+    right = np.arange(len(t)) > at[row]
+    word = np.where(right, _is_word(t, *_RIGHT, odd), _is_word(t, *_LEFT, odd)) & ~equals
+    rest = np.flatnonzero(~equals & ~word)
+    bare, size = _bare(t.take(pa.array(rest)))
+    constant = _true(pc.match_substring_regex(bare, f"^[0-9a-f]{{1,24}}[{_ENDS}]?$"))
+
+    def rows(mask):
+        return _Rows(t.filter(pa.array(mask)), row[mask], n)
+
+    def constants(mask):
+        return _Rows(bare.filter(pa.array(mask)), row[rest[mask]], n)
+
+    left, said = rows(word & ~right), rows(word & right)
+    ins, outs = constants(constant & ~right[rest]), constants(constant & right[rest])
+    ops = _Rows(t.take(pa.array(rest[~constant])), row[rest[~constant]], n)
+    names = ops.at(0).dictionary_encode()
+    parts = pc.extract_regex(names.dictionary, rf"^(?P<op>[a-z0-9]+)\.(?P<size>[bwlsdxp][{_ENDS}]?)$")
+    op, op_size = (pc.struct_field(parts, f).take(names.indices) for f in ("op", "size"))
+    named = ~op.is_null().to_numpy(zero_copy_only=False)
+    why = np.select([gone, ops.count == 0, ops.count > 1, ~named], [0, 1, 2, 3], 0)
+    reason = pa.array([None, "no test name", "unknown item", "unknown test name"]).take(pa.array(why))
+
+    # the last word on a flag counts
+    flags = said.pick(~_true(pc.starts_with(said.tokens, "q:")))
+    clear = pc.starts_with(flags.tokens, "~")
+    key = pc.if_else(pc.is_in(flags.tokens, value_set=pa.array(["t", "~t", "f"])), "taken", pc.utf8_ltrim(flags.tokens, "~")).dictionary_encode()
+    pair = flags.row * max(len(key.dictionary), 1) + key.indices.to_numpy()
+    last, seen = np.zeros(n * max(len(key.dictionary), 1), np.int64), np.arange(len(pair))
+    last[pair] = seen
+    kept = last[pair] == seen
+    value = pc.invert(pc.or_(clear, pc.equal(flags.tokens, "f")))
+    final = flags.pick(kept)
+    flag_map = pa.MapArray.from_arrays(final.offsets(), key.dictionary.take(key.indices).filter(pa.array(kept)), value.filter(pa.array(kept)))
+    none = pa.scalar(None)
+
+    def unless_gone(values):
+        return pc.if_else(pa.array(gone), none.cast(values.type), values) if gone.any() else values
+
+    fields = {
+        "reason": reason, "op": op, "size": op_size, "rmode": left.among(ROUNDINGS).at(-1).fill_null("rn"), "prec": left.among(PRECISIONS).at(-1).fill_null("x"),
+        "enables": left.among(ENABLES).lists(gone), "codes": left.among(CODES).lists(gone),
+        "in1": _constant_bytes(ins.at(0)), "in1_from": ins.at(0, size.filter(pa.array(constant & ~right[rest]))), "in2": _constant_bytes(ins.at(1)),
+        "k_word": left.pick(_true(pc.match_substring_regex(left.tokens, "^(?:k#|ks|kd):"))).at(-1), "q_word": said.pick(_true(pc.starts_with(said.tokens, "q:"))).at(-1),
+        "moves_out": unless_gone(pa.array(left.among(("out",)).count > 0)), "has_expect": unless_gone(pa.array(at < len(t))),
+        "exp1": _constant_bytes(outs.at(0)), "exp2": _constant_bytes(outs.at(1)), "exp_flags": flag_map}
+    return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
 
 def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,65 +222,20 @@ def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     per line, the operation.
     """
     split_wide_code(lines.sparkSession)
-    spaced = F.trim(F.regexp_replace(F.col("line"), "=", " = "))
-    split = hold(lines.where("kind = 'test'"), _t=F.split(spaced, r"\s+"))
-    at = F.array_position("_t", F.lit("=")).cast("int")
-
-    def token(t, i):
-        right = (F.col("_at") > 0) & (i >= F.col("_at"))
-        cls = (
-            F.when(t == "=", "e").when(F.when(right, t.rlike(_RIGHT)).otherwise(t.rlike(_LEFT)), "w")
-            .when(fbits.is_constant(t), "c").otherwise("o")
-        )
-        return F.struct(t.alias("t"), F.concat(F.when(right, "r").otherwise("l"), cls).alias("cls"))
-
-    classed = hold(split.withColumn("_at", at), _k=F.transform("_t", token))
-
-    def of(cls):
-        return F.transform(F.filter("_k", lambda k: k["cls"].isin(*cls)), lambda k: k["t"])
-
-    parts = hold(
-        classed.select("suite", "line_no", "raw", "verbose", (F.col("_at") > 0).alias("has_expect"), "_k"),
-        _lw=of(("lw",)), _rw=of(("rw",)), _ins=of(("lc",)), _outs=of(("rc",)), _ops=of(("lo", "ro")),
-    ).drop("_k")
-    name = F.try_element_at("_ops", F.lit(1))
-    reason = (
-        F.when(F.size("_ops") == 0, "no test name").when(F.size("_ops") > 1, "unknown item")
-        .when(~name.rlike(r"^[a-z0-9]+\.[bwlsdxp]$"), "unknown test name")
-    )
+    judged = hold(lines.where("kind = 'test'"), _p=_parsed(F.col("line")))
+    rejects = judged.where("_p.reason is not null").select("suite", "line_no", "raw", F.col("_p.reason").alias("reason"))
 
-    def last_of(words, default):
-        return F.coalesce(F.try_element_at(F.filter("_lw", lambda t: t.isin(*words)), F.lit(-1)), F.lit(default))
-
-    def number(words, prefix, base):
-        hit = F.regexp_extract(F.try_element_at(F.filter(words, lambda t: t.rlike(prefix)), F.lit(-1)), prefix + "(-?[0-9a-f]+)", 2)
+    def number(word, prefix, base):
+        hit = F.regexp_extract(word, prefix + "(-?[0-9a-f]+)", 2)
         return (F.conv(hit, 16, 10) if base == 16 else hit).cast("int")
 
-    def const(words, i):
-        return fbits.clean_constant(F.try_element_at(words, F.lit(i)))
+    def parsed(*names):
+        return [F.col(f"_p.{c}").alias(c) for c in names]
 
-    flags = F.transform(F.filter("_rw", lambda t: ~t.startswith("q:")), lambda t: F.struct(
-        F.when(t.isin("t", "~t", "f"), "taken").otherwise(F.ltrim(t, F.lit("~"))).alias("k"),
-        (~(t.startswith("~") | (t == "f"))).alias("v")))
-    judged = hold(parts, reason=reason, _named=flags)
-    rejects = judged.where("reason is not null").select("suite", "line_no", "raw", "reason")
-    good = judged.where("reason is null")
-    # the last word on a flag counts
-    flag_map = F.map_from_entries(F.filter(
-        "_named", lambda e, i: ~F.exists(F.slice("_named", i + 2, F.size("_named")), lambda o: o["k"] == e["k"])))
-    fields = hold(
-        good.select("suite", "line_no", "raw", "verbose", "has_expect", "_lw", "_rw", "_named", "_ops", "_ins", "_outs"),
-        _i1=const(F.col("_ins"), 1), _i2=const(F.col("_ins"), 2), _e1=const(F.col("_outs"), 1), _e2=const(F.col("_outs"), 2),
-    )
-    vectors = fields.select(
-        "suite", "line_no", F.split_part(name, F.lit("."), F.lit(1)).alias("op"), F.split_part(name, F.lit("."), F.lit(2)).alias("size"),
-        last_of(ROUNDINGS, "rn").alias("rmode"), last_of(PRECISIONS, "x").alias("prec"),
-        F.filter("_lw", lambda t: t.isin(*ENABLES)).alias("enables"), F.filter("_lw", lambda t: t.isin(*CODES)).alias("codes"),
-        F.unhex("_i1.digits").alias("in1"), F.col("_i1.size").alias("in1_from"), F.unhex("_i2.digits").alias("in2"),
-        number("_lw", "^(k#:|ks:|kd:)", 10).alias("kfactor"), number("_rw", "^(q:)", 16).alias("qbyte"),
-        F.array_contains("_lw", "out").alias("moves_out"),
-        "has_expect", F.unhex("_e1.digits").alias("exp1"), F.unhex("_e2.digits").alias("exp2"),
-        flag_map.alias("exp_flags"), "verbose", "raw",
+    vectors = judged.where("_p.reason is null").select(
+        "suite", "line_no", *parsed("op", "size", "rmode", "prec", "enables", "codes", "in1", "in1_from", "in2"),
+        number(F.col("_p.k_word"), "^(k#:|ks:|kd:)", 10).alias("kfactor"), number(F.col("_p.q_word"), "^(q:)", 16).alias("qbyte"),
+        *parsed("moves_out", "has_expect", "exp1", "exp2", "exp_flags"), "verbose", "raw",
     )
     return vectors, rejects
 

@@ -280,3 +280,65 @@ def test_wide_projections_are_split(spark, folder):
     lines = spark.createDataFrame([("s", 1, "fadd.x 0 1 = 1 ~n")], "suite string, line_no bigint, raw string")
     bound, _ = C.bind_ops(V.parse_vectors(V.classify_lines(lines))[0], C.catalogue(spark))
     assert E.run_vectors(bound).count() == 1 and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_held_values_are_computed_once(spark):
+    from strataflux.operators.scan import hold
+
+    twice = spark.range(5).withColumn("x", F.col("id") * 1.5)
+    plan = hold(hold(twice, a=ieee.fgetexp(F.col("x"))), b=ieee.fgetman(F.col("a"))).where("b > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("number_parts(") == 2 and "size(" not in plan
+
+
+def test_verdicts_take_two_python_passes(spark):
+    lines = spark.createDataFrame([("s", 1, "fadd.x 0 1 = 1 ~n")], "suite string, line_no bigint, raw string")
+    vectors = V.parse_vectors(V.classify_lines(lines))[0]
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    bound = C.bind_ops(vectors.localCheckpoint(), C.catalogue(spark))[0]
+    assert E.run_vectors(bound)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_taken_is_the_branch(spark):
+    codes = spark.createDataFrame([(a, b, c) for a in (False, True) for b in (False, True) for c in (False, True)], "n boolean, z boolean, nan boolean")
+    branches = {p: conditions.branch(p, F.col("n"), F.col("z"), F.col("nan"))["taken"] for p in conditions.PREDICATES}
+    for r in codes.select("*", *[c.alias("_" + p) for p, c in branches.items()]).collect():
+        assert {p: conditions.taken(p, r.n, r.z, r.nan) for p in branches} == {p: r["_" + p] for p in branches}
+
+
+ODD_LINES = [
+    ("fabs.d [d]bff8_0000_0000_0000(-1.5 rn rz rm = 3fff0000c000000000000000 n ~n n", ("fabs", "d", "rm", "d", "00000000bff8000000000000", {"n": True})),
+    ("\tfabs.d 1 = 2", None), ("fabs.d\x0b1=2 = 3 ~z z(", None), ("fabs.d 1111111111111111111111111 = 2", None), ("fabs.d = = t q:7f", ("fabs", "d", "rn", None, None, {"taken": True})),
+    ("fabs.d rn\u0085 1", ("fabs", "d", "rn", None, "0" * 23 + "1", {})), ("1 2", None), ("fabs 1", None)]
+
+
+def test_odd_lines(spark):
+    lines = spark.createDataFrame([("s", i, raw) for i, (raw, _) in enumerate(ODD_LINES)], "suite string, line_no bigint, raw string")
+    vectors, rejects = V.parse_vectors(V.classify_lines(lines))
+    got = {r.line_no: (r.op, r["size"], r.rmode, r.in1_from, r.in1 and r.in1.hex(), r.exp_flags) for r in vectors.collect()}
+    assert got == {i: want for i, (_, want) in enumerate(ODD_LINES) if want}
+    assert {r.line_no: r.reason for r in rejects.collect()} == {1: "unknown item", 2: "unknown item", 3: "unknown item", 6: "no test name", 7: "unknown test name"}
+
+
+def test_random_verdicts_agree_with_double_arithmetic(spark, folder):
+    """Sums with a result that is right, one unit off or far off, in 2,000 lines: more than one batch of a task."""
+    import struct
+
+    def wide(v):
+        bits = struct.unpack(">Q", struct.pack(">d", v))[0]
+        return f"{(bits >> 63) * 32768 + (bits >> 52 & 2047) + 15360:04x}0000{bits << 11 & (1 << 63) - 1 | 1 << 63:016x}"
+
+    rng, rows = random.Random(8), []
+    for i in range(2000):
+        a, b = rng.randint(-99, 99) / 8, rng.randint(1, 99) / 8
+        total = a + b or 1.0
+        said = {0: total, 1: math.nextafter(total, math.inf), 2: total * 4}[i % 3]
+        rows.append((f"fadd.d [d]{struct.pack('>d', a).hex()} {struct.pack('>d', b).hex()} = {wide(said)} {'' if total < 0 else '~'}n", "ok" if i % 3 == 0 and a + b else "mismatch"))
+    with open(f"{folder}/a.vec", "w") as f:
+        f.writelines(line + "\n" for line, _ in rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        bound = C.bind_ops(V.parse_vectors(V.read_vectors(spark, folder))[0], C.catalogue(spark))[0]
+        got = {r.line_no: r for r in E.run_vectors(bound).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i + 1].verdict for i in range(2000)] == [v for _, v in rows]
