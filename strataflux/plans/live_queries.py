@@ -56,7 +56,7 @@ def _twice(spark, d, label, job, into="slot"):
     for slots in (range(n // 2), range(n // 2, n + 1)):
         _arrive(spark, made, slots, folder, since)
         done = job(L.file_stream(spark, folder, T.table(spark, d, "events").schema, files_per_batch=1))
-        L.append_to(done, out, check).awaitTermination()
+        L.append_to(done, out, check, small_batches=True).awaitTermination()
     return spark.read.schema(done.schema).parquet(out)
 
 

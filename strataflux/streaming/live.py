@@ -59,12 +59,24 @@ def closing_row(events: DataFrame, at: str, years: int = 10) -> DataFrame:
     return last.select(*[F.col(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
-def append_to(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append finished rows to parquet, taking what is there and then stopping."""
-    return (
-        df.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def append_to(df: DataFrame, out: str, checkpoint: str, small_batches: bool = False) -> StreamingQuery:
+    """Append finished rows to parquet, taking what is there and then stopping.
+
+    Every batch loads and commits each partition of the state, touched or not. A
+    stream of many small batches has no more partitions than the session has
+    cores; the checkpoint keeps the number that its first start had.
+    """
+    spark, count = df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(count)
+    if small_batches:
+        spark.conf.set(count, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:  # the query has a copy of the settings from here on
+        return (
+            df.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(count, before)
 
 
 # --- sinks by batch id -----------------------------------------------------
